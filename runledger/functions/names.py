@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 from ..constants import PROCESSED, RAW, SCIENCE_CUTS, SCIENCE_LAST, TRANSFERRED, VETO
+from ..scale import run_time
 
 
 def science_run(start: Column, cuts: Sequence[tuple[str, str]] = SCIENCE_CUTS, last: str = SCIENCE_LAST) -> Column:
@@ -23,7 +25,7 @@ def with_science_run(runs: DataFrame, cuts: Sequence[tuple[str, str]] = SCIENCE_
 
 
 def with_run_time(runs: DataFrame) -> DataFrame:
-    return runs.withColumn("run_time", F.try_to_timestamp("name", F.lit("yyMMdd_HHmm")).cast("timestamp_ntz"))
+    return runs.withColumn("run_time", run_time(F.col("name")))
 
 
 def run_name(start: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PROCESSED, RAW, REUPLOAD, TRANSFERRED, UNTRIGGERED
-from ..scale import (broadcast_if_small, is_small, levels_for, node_of, point_nodes, range_pieces)
+from ..scale import (broadcast_if_small, is_small, levels_for, node_of, point_nodes, range_pieces, run_time)
 from ..sources.catalogue import name_windows, number_ranges
 
 Masters = Sequence[tuple[str, str, bool]]  # (type, host, compared per version?)
@@ -220,7 +220,7 @@ def match_rules(runs: DataFrame, rules: DataFrame, excludes: bool = False, detec
     Every branch is an equi-join: numbers and windows as tree pieces; a rule that takes all
     runs is spread over salts.  Exclusions, detector and source are off by default.
     """
-    base = runs.select("number", F.unix_seconds(F.try_to_timestamp("name", F.lit("yyMMdd_HHmm"))).alias("_t"),
+    base = runs.select("number", F.unix_seconds(run_time(F.col("name")).cast("timestamp")).alias("_t"),
                        *(["detector"] if detector else []), *([F.col("source.type").alias("source_type")] if source else []))
     numbers = number_ranges(rules)
     windows = name_windows(rules).select(

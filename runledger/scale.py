@@ -98,3 +98,9 @@ def previous_in_key(df: DataFrame, key: str, order: Sequence[str], bucket: Colum
     for v in values:
         joined = joined.withColumn(f"prev_{v}", prev[v])
     return joined.drop("_bucket", "_prev", "_carry")
+
+
+def run_time(name: Column) -> Column:
+    """Time in a run name ``yyMMdd_HHmm``; years 69 to 99 belong to the last century."""
+    time = F.try_to_timestamp(name, F.lit("yyMMdd_HHmm")).cast("timestamp_ntz")
+    return F.when(F.year(time) >= 2069, time - F.expr("INTERVAL 100 YEARS")).otherwise(time)

@@ -6,9 +6,9 @@ from .registry import query
 
 
 @query("e1_adler32", """
-, bytes AS (SELECT path, length AS n, unnest(range(0, length)) AS i, hex(encode(text)) AS h FROM files WHERE length > 0),
-sums AS (SELECT path, any_value(n) AS n, sum(b) AS s, sum((n - i) * b) AS w FROM (
-  SELECT path, n, i, ('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT AS b FROM bytes) x GROUP BY path)
+, hexes AS (SELECT path, length AS n, regexp_extract_all(hex(encode(text)), '..') AS l FROM files WHERE length > 0),
+bytes AS (SELECT path, n, generate_subscripts(l, 1) - 1 AS i, ('0x' || unnest(l))::BIGINT AS b FROM hexes),
+sums AS (SELECT path, any_value(n) AS n, sum(b) AS s, sum((n - i) * b) AS w FROM bytes GROUP BY path)
 SELECT path, lower(lpad(to_hex(CAST(((n + w) % 65521) * 65536 + (1 + s) % 65521 AS BIGINT)), 8, '0')) AS fingerprint
 FROM sums UNION ALL SELECT path, '00000001' FROM files WHERE length = 0""", "files")
 def e1(spark, sf):

@@ -18,7 +18,7 @@ ORDERS = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice d
 
 
 def _event_stream(spark, sf):
-    return jobs.new_files(spark, f"{sf}/events.parquet", EVENTS)
+    return jobs.new_files(spark, f"{sf}/events.parque[t]", EVENTS)
 
 
 def _status_stream(spark, sf):
@@ -33,7 +33,7 @@ def _stateful(spark):
 @query("t1_new_runs", """
 SELECT o_orderkey AS number, o_orderdate AS start FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01 00:00:00'""")
 def t1(spark, sf):
-    stream = jobs.new_files(spark, f"{sf}/orders.parquet", ORDERS).select(
+    stream = jobs.new_files(spark, f"{sf}/orders.parque[t]", ORDERS).select(
         F.col("o_orderkey").alias("number"), F.col("o_orderdate").alias("start"))
     out = jobs.drain(jobs.new_runs(stream, fx.ntz("1997-01-01 00:00:00")), jobs.append_to, "new-runs")
     return spark.read.schema("number long, start timestamp_ntz").parquet(out)
@@ -51,8 +51,8 @@ STALL_SQL = """
 SELECT replica_id, event_id, since_ms, status, unnest(CASE WHEN idle > 86400000 THEN ['alert', 'purge']
   WHEN idle > 7200000 THEN ['alert'] ELSE [] END) AS level FROM (
   SELECT *, coalesce(lead(since_ms) OVER (PARTITION BY replica_id ORDER BY since_ms, event_id),
-      (SELECT max(epoch_ms(ts)) - {delay} FROM status_events)) - since_ms AS idle
-  FROM (SELECT replica_id, event_id, status, epoch_ms(ts) AS since_ms FROM status_events) e) x
+      (SELECT max(epoch_us(ts) // 1000) - {delay} FROM status_events)) - since_ms AS idle
+  FROM (SELECT replica_id, event_id, status, epoch_us(ts) // 1000 AS since_ms FROM status_events) e) x
 WHERE status NOT IN ('transferred', 'verifying')"""
 
 
@@ -129,7 +129,7 @@ def u2(spark, sf):
     return hooks.per_location(failed.select("run_number", "pos", "host"), upper, "run_number long, pos long, site string")
 
 
-@query("u3_custom_correction", "SELECT number, events_built * 2.0 + 1 AS value FROM runs", "runs")
+@query("u3_custom_correction", "SELECT number, CAST(events_built * 2 + 1 AS DOUBLE) AS value FROM runs", "runs")
 def u3(spark, sf):
     corrections.register_correction("doubled", lambda n: n * 2.0 + 1)
     rows = corrections.evaluate_correction(fx.runs(spark, sf), "", {"n": F.col("trigger.events_built")}, "doubled")
