@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ENDPOINT_MARK, NOT_AVAILABLE, VALID
-from .logs import _last, after_colon
+from .logs import _last, after_colon, first_mark
 
 
 def parse_rules(lines: DataFrame, location: str = "did") -> DataFrame:
@@ -31,7 +31,7 @@ def rule_summary(rules: DataFrame, wanted: DataFrame, location: str = "did") ->
 
 
 def _cell(i: int) -> Column:
-    return F.regexp_replace(F.get("_c", F.lit(i)), " ", "")
+    return F.translate(F.get("_c", F.lit(i)), " ", "")
 
 
 def parse_replicas(lines: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def parse_replicas(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("_w", where).filter(F.size("_w") == 2)
     return rows.select(
         "file", _cell(1).alias("scope"), _cell(2).alias("name"), _cell(3).alias("size"), _cell(4).alias("checksum"),
-        F.regexp_replace(F.col("_w")[0], " ", "").alias("rse"), F.regexp_replace(F.col("_w")[1], " ", "").alias("path"))
+        F.translate(F.col("_w")[0], " ", "").alias("rse"), F.translate(F.col("_w")[1], " ", "").alias("path"))
 
 
 def parse_files(lines: DataFrame) -> DataFrame:
@@ -59,22 +59,18 @@ def parse_usage(lines: DataFrame) -> DataFrame:
 
     A line saying that the endpoint does not exist ends the reading.
     """
-    line = F.col("line")
-    stop = F.min(F.when(line.contains("[RSE does not exist"), F.col("line_no")))
-    bare = lambda n=1: F.regexp_replace(after_colon(line, n), " ", "")
-    kind = (F.when(line.contains("[RSE does not exist"), "stop").when(line.contains("used:"), "used")
-            .when(line.contains("rse:"), "rse").when(line.contains("updated_at:"), "updated_at")
-            .when(line.contains("source:"), "source"))
+    marks = ["[RSE does not exist", "used:", "rse:", "updated_at:", "source:"]
+    names = ["_stop", "used", "rse", "updated_at", "source"]
+    bare = lambda n: F.translate(after_colon(F.col("line"), n), " ", "")
     stamp = F.concat(bare(1), F.lit("_"), bare(2), bare(3), bare(4))
-    rows = lines.withColumn("_k", kind)
-    pick = lambda k, v: F.max_by(F.struct("line_no", v.alias("v")), F.when(F.col("_k") == k, F.col("line_no")))
-    out = rows.groupBy("file").agg(
-        stop.alias("_stop"), *[pick(k, stamp if k == "updated_at" else bare()).alias(k)
-                               for k in ("used", "rse", "updated_at", "source")])
-    known = lambda k: F.col("_stop").isNull() | (F.col(k)["line_no"] < F.col("_stop"))
-    return out.select("file", *[
-        F.coalesce(F.when(known(k), F.col(k)["v"]), F.lit(NOT_AVAILABLE)).alias(k)
-        for k in ("used", "rse", "updated_at", "source")])
+    rows = lines.select("file", "line_no", first_mark(F.col("line"), marks).alias("_m"), bare(1).alias("text"),
+                        stamp.alias("stamp"))
+    at = lambda i: F.when(F.col("_m") == i, F.col("line_no"))
+    out = rows.groupBy("file").agg(F.min(at(0)).alias("_stop"), *[
+        agg for i, k in enumerate(names) if i
+        for agg in (F.max_by("stamp" if k == "updated_at" else "text", at(i)).alias(k), F.max(at(i)).alias(f"_at_{k}"))])
+    known = lambda k: F.col("_stop").isNull() | (F.col(f"_at_{k}") < F.col("_stop"))
+    return out.select("file", *[F.coalesce(F.when(known(k), F.col(k)), F.lit(NOT_AVAILABLE)).alias(k) for k in names[1:]])
 
 
 def parse_rses(lines: DataFrame) -> DataFrame:

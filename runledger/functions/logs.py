@@ -31,21 +31,22 @@ def first_mark(line: Column, marks: Sequence[str]) -> Column:
     return out
 
 
+def _bare(n: int = 1) -> Column:
+    """The n-th colon-separated field without blanks."""
+    return F.translate(after_colon(F.col("line"), n), " ", "")
+
+
 def parse_upload_log(lines: DataFrame) -> DataFrame:
     """Counters of an upload, last line per counter; absent ones are -1 (objects backed up: null)."""
-    marks = [m for _, m, _ in K.UPLOAD_COUNTERS]
-    line, rows = F.col("line"), lines.withColumn("_m", first_mark(F.col("line"), marks))
-    rows = rows.filter(F.col("_m").isNotNull())
-    bare = lambda n=1: F.regexp_replace(after_colon(line, n), " ", "")
+    mark = first_mark(F.col("line"), [m for _, m, _ in K.UPLOAD_COUNTERS])
+    rows = lines.select(
+        "file", "line_no", mark.alias("_m"), _bare().alias("text"),
+        F.translate(_bare(), ",", "").try_cast("bigint").alias("number"),
+        F.concat_ws(":", _bare(1), _bare(2), _bare(3)).alias("clock"))
     aggs = []
     for i, (name, _, integer) in enumerate(K.UPLOAD_COUNTERS):
-        if integer:
-            value = F.regexp_replace(bare(), ",", "").try_cast("bigint")
-        elif name == "elapsed_processing_time":
-            value = F.concat_ws(":", bare(1), bare(2), bare(3))
-        else:
-            value = bare()
-        picked = _last(value, F.col("_m") == i)
+        value = "number" if integer else "clock" if name == "elapsed_processing_time" else "text"
+        picked = _last(F.col(value), F.col("_m") == i)
         if name != "backedup":
             picked = F.coalesce(picked, F.lit(-1) if integer else F.lit("-1"))
         aggs.append(picked.alias(name))
@@ -64,13 +65,10 @@ def restored_files(lines: DataFrame) -> DataFrame:
 
 def parse_restore_log(lines: DataFrame) -> DataFrame:
     """Totals of a restore, last line per counter; absent ones are -1."""
-    line = F.col("line")
-    value = F.regexp_replace(after_colon(line), " ", "")
-    hit = F.lit(False)
-    for _, mark in K.RESTORE_COUNTERS:
-        hit = hit | line.contains(mark)
-    return lines.filter(hit).groupBy("file").agg(*[
-        F.coalesce(_last(value, line.contains(mark)), F.lit("-1")).alias(name) for name, mark in K.RESTORE_COUNTERS])
+    rows = lines.select("file", "line_no", _bare().alias("text"), *[
+        F.col("line").contains(mark).alias(f"_{name}") for name, mark in K.RESTORE_COUNTERS])
+    return rows.groupBy("file").agg(*[
+        F.coalesce(_last(F.col("text"), F.col(f"_{name}")), F.lit("-1")).alias(name) for name, _ in K.RESTORE_COUNTERS])
 
 
 def log_summary(lines: DataFrame) -> DataFrame:
@@ -115,11 +113,11 @@ def log_summary(lines: DataFrame) -> DataFrame:
 
 def classify_errors(lines: DataFrame, patterns: Sequence[tuple[str, str]] = K.UPLOAD_ERRORS) -> DataFrame:
     """State per file from its first line that matches a pattern; patterns are tested in order."""
-    line = F.col("line")
-    index = first_mark(line, [p for p, _ in patterns])
+    rows = lines.select("file", "line_no", first_mark(F.col("line"), [p for p, _ in patterns]).alias("_m"))
+    hit = F.when(F.col("_m").isNotNull(), F.col("line_no"))
+    first = rows.groupBy("file").agg(F.min_by("_m", hit).alias("_m"), F.min(hit).alias("line_no"))
     status = F.element_at(F.array(*[F.lit(s) for _, s in patterns]), F.col("_m") + 1)
-    rows = lines.withColumn("_m", index).filter(F.col("_m").isNotNull())
-    return rows.groupBy("file").agg(F.min_by(status, "line_no").alias("status"), F.min("line_no").alias("line_no"))
+    return first.filter(F.col("line_no").isNotNull()).select("file", status.alias("status"), "line_no")
 
 
 def downloaded_files(lines: DataFrame) -> DataFrame:
@@ -139,17 +137,18 @@ def downloaded_files(lines: DataFrame) -> DataFrame:
 def parse_downloads(lines: DataFrame) -> DataFrame:
     """Download totals per file of output; successful when every file has its success message."""
     line = F.col("line")
-    begin = F.min(F.when(line.contains("Download summary"), F.col("line_no")))
-    field = lambda mark: F.max(F.when(
-        line.contains(mark), F.struct("line_no", F.regexp_replace(after_colon(line), " ", "").alias("v"))))
-    out = lines.groupBy("file").agg(
-        begin.alias("_begin"), F.count_if(line.contains(K.DOWNLOAD_OK)).alias("n_messages"),
-        F.max(F.when(line.startswith("DID"), F.struct("line_no", F.expr("substring(line, 5)").alias("v")))).alias("did"),
-        field("Total files").alias("total_files"), field("Downloaded files").alias("dw_files"),
-        field("Files already found locally").alias("alreadylocal_files"),
-        field("Files that cannot be downloaded").alias("dwfail_files"))
-    value = lambda c: F.when(F.col(c)["line_no"] >= F.col("_begin"), F.col(c)["v"])
-    total = value("total_files").try_cast("bigint")
-    return out.select("file", *[value(c).alias(c) for c in
-                                ("did", "total_files", "dw_files", "alreadylocal_files", "dwfail_files")], "n_messages",
-                      F.when(F.col("n_messages") == total, "successful").otherwise("file number error").alias("status"))
+    marks = {"total_files": "Total files", "dw_files": "Downloaded files",
+             "alreadylocal_files": "Files already found locally", "dwfail_files": "Files that cannot be downloaded"}
+    rows = lines.select(
+        "file", "line_no", line.contains("Download summary").alias("_s"), line.contains(K.DOWNLOAD_OK).alias("_ok"),
+        F.when(line.startswith("DID"), F.expr("substring(line, 5)")).alias("did"),
+        *[F.when(line.contains(mark), _bare()).alias(name) for name, mark in marks.items()])
+    fields = ["did", *marks]
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
+    out = rows.groupBy("file").agg(
+        F.min(F.when(F.col("_s"), F.col("line_no"))).alias("_begin"), F.count_if("_ok").alias("n_messages"),
+        *[F.max_by(c, known(c)).alias(c) for c in fields], *[F.max(known(c)).alias(f"_at_{c}") for c in fields])
+    value = lambda c: F.when(F.col(f"_at_{c}") >= F.col("_begin"), F.col(c))
+    return out.select("file", *[value(c).alias(c) for c in fields], "n_messages",
+                      F.when(F.col("n_messages") == value("total_files").try_cast("bigint"), "successful")
+                      .otherwise("file number error").alias("status"))

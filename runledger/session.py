@@ -15,6 +15,7 @@ def local_session(app: str = "runledger", cpus: int | None = None, memory: str =
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
