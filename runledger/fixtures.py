@@ -193,9 +193,8 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
             .when(kind == 6, _text("run [INFO] tsm upload dataset 160824_0125 took ", (size % 600).cast("string"),
                                    " seconds"))
             .otherwise("ERROR [('Connection aborted.', BadStatusLine('',))]"))
-    rows = replicas(spark, sf).select(F.col("run_number").alias("file"), F.col("pos").alias("line_no"),
-                                      F.array(line).alias("_l"))
-    return rows.select("file", "line_no", F.explode("_l").alias("line"))
+    return replicas(spark, sf).select(F.col("run_number").alias("file"), F.col("pos").alias("line_no"),
+                                      line.alias("line"))
 
 
 def rse_sets(spark: SparkSession, sf: str) -> DataFrame:

@@ -178,34 +178,40 @@ def verify_download(downloaded: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def matched_uploads(local: DataFrame, catalogue: DataFrame, rse: str, check: bool = False) -> DataFrame:
-    """Local files found by name at the endpoint: (dataset, file, checksum)."""
-    there = catalogue.filter(F.col("rse") == rse).groupBy("dataset", "file").agg(F.max("checksum").alias("checksum"))
-    hits = local.join(there, ["dataset", "file"], "left")
+    """Local files with their checksum at the endpoint, matched by name: (dataset, file, checksum, found).
+
+    ``check`` also demands that the checksum equals the local ``fingerprint``.
+    """
+    mine = local.select("dataset", "file", F.lit(True).alias("_local"), F.lit(None).cast("string").alias("checksum"),
+                        (F.col("fingerprint") if check else F.lit(None).cast("string")).alias("_print"))
+    theirs = catalogue.filter(F.col("rse") == rse).select(
+        "dataset", "file", F.lit(False), "checksum", F.lit(None).cast("string"))
+    per_file = mine.union(theirs).groupBy("dataset", "file").agg(
+        F.bool_or("_local").alias("_local"), F.max("checksum").alias("checksum"), F.max("_print").alias("_print"))
     found = F.col("checksum").isNotNull()
     if check:
-        found = found & (F.col("checksum") == F.col("fingerprint"))
-    return hits.withColumn("found", found)
+        found = found & (F.col("checksum") == F.col("_print"))
+    return per_file.filter("_local").select("dataset", "file", "checksum", F.coalesce(found, F.lit(False)).alias("found"))
 
 
 def verify_upload(local: DataFrame, catalogue: DataFrame, rse: str, check: bool = False,
-                  joined: bool = True) -> DataFrame:
+                  joined: bool = False) -> DataFrame:
     """Upload state per dataset: every local file must be found by name at the endpoint.
 
-    ``joined`` adds the checksum text of complete datasets, in file order; without it no
-    dataset's checksums are brought together (``matched_uploads`` lists them as rows).
+    The checksums of a complete dataset are the rows of ``matched_uploads``; ``joined``
+    also brings them together as one text per dataset, in file order.
     """
     hits = matched_uploads(local, catalogue, rse, check)
-    out = hits.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("found").alias("n_found"))
+    aggs = [F.count(F.lit(1)).alias("n_files"), F.count_if("found").alias("n_found")]
+    if joined:
+        aggs.append(F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("file", "checksum")))).alias("_c"))
+    out = hits.groupBy("dataset").agg(*aggs)
     complete = F.col("n_found") == F.col("n_files")
-    out = out.withColumn("status", F.when(complete, TRANSFERRED).otherwise(REUPLOAD))
-    if not joined:
-        return out
-    entry = F.struct("file", "checksum")
-    texts = hits.filter("found").groupBy("dataset").agg(F.array_sort(F.collect_list(entry)).alias("_c"))
-    text = F.concat(F.lit(":"), F.concat_ws(":", F.col("_c.checksum")))
-    return out.join(texts, "dataset", "left").select(
-        "dataset", "n_files", "n_found", "status",
-        F.when(F.col("status") == TRANSFERRED, text).otherwise("n/a").alias("checksum"))
+    columns = ["dataset", "n_files", "n_found", F.when(complete, TRANSFERRED).otherwise(REUPLOAD).alias("status")]
+    if joined:
+        text = F.concat(F.lit(":"), F.concat_ws(":", F.col("_c.checksum")))
+        columns.append(F.when(complete, text).otherwise("n/a").alias("checksum"))
+    return out.select(*columns)
 
 
 # -- rules ------------------------------------------------------------------

@@ -101,19 +101,32 @@ def j8(spark, sf):
     return op.verify_download(downloaded, files)
 
 
-@query("j9_verify_upload", """
+UPLOADED_SQL = """
 , local AS (SELECT DISTINCT dir AS dataset, name AS file FROM listing),
 there AS (SELECT dir AS dataset, name AS file, max(fingerprint) AS checksum FROM listing WHERE length % 31 <> 0
   GROUP BY 1, 2)
+"""
+
+
+def _uploads(spark, sf):
+    files = as_files(fx.listing(spark, sf))
+    rse = F.when(F.col("length") % 31 != 0, "entrance").otherwise("other")
+    return files.select("dataset", "file"), files.withColumn("rse", rse).withColumnRenamed("fingerprint", "checksum")
+
+
+@query("j9_verify_upload", UPLOADED_SQL + """
 SELECT l.dataset, count(*) AS n_files, count(t.checksum) AS n_found,
-  CASE WHEN count(t.checksum) = count(*) THEN 'transferred' ELSE 'RSEreupload' END AS status,
-  CASE WHEN count(t.checksum) = count(*) THEN ':' || string_agg(t.checksum, ':' ORDER BY l.file) ELSE 'n/a' END AS checksum
+  CASE WHEN count(t.checksum) = count(*) THEN 'transferred' ELSE 'RSEreupload' END AS status
 FROM local l LEFT JOIN there t ON l.dataset = t.dataset AND l.file = t.file GROUP BY l.dataset""", "listing")
 def j9(spark, sf):
-    files = as_files(fx.listing(spark, sf))
-    rse = F.when(F.col("length") % 31 != 0, "entrance").otherwise("other")
-    catalogue = files.withColumn("rse", rse).withColumnRenamed("fingerprint", "checksum")
-    return op.verify_upload(files.select("dataset", "file").distinct(), catalogue, "entrance")
+    return op.verify_upload(*_uploads(spark, sf), "entrance")
+
+
+@query("j9_matched_uploads", UPLOADED_SQL + """
+SELECT l.dataset, l.file, t.checksum, t.checksum IS NOT NULL AS found
+FROM local l LEFT JOIN there t ON l.dataset = t.dataset AND l.file = t.file""", "listing")
+def j9_rows(spark, sf):
+    return op.matched_uploads(*_uploads(spark, sf), "entrance")
 
 
 @query("j10_match_rules", "SELECT number, rule_id FROM matches", "matches")

@@ -5,13 +5,20 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import fixtures as fx
 from ..functions import listings, logs
+from ..scale import scratch_dir
 from .registry import query
 
 
 def _lines(spark, sf, line, key="run_number"):
-    """(file, line_no, line) with one line per replica; the text is built once, in its own step."""
-    rows = fx.replicas(spark, sf).select(F.col(key).alias("file"), F.col("pos").alias("line_no"), F.array(line).alias("_l"))
-    return rows.select("file", "line_no", F.explode("_l").alias("line"))
+    """(file, line_no, line) with one line per replica."""
+    return fx.replicas(spark, sf).select(F.col(key).alias("file"), F.col("pos").alias("line_no"), line.alias("line"))
+
+
+def _stored(lines):
+    """Lines written out and read back, as tool output is: parsing filters then see text, not the fixture's recipe."""
+    path = scratch_dir(lines.sparkSession, "lines")
+    lines.write.parquet(path)
+    return lines.sparkSession.read.schema(lines.schema).parquet(path)
 
 
 def _cat(*parts):
@@ -76,7 +83,7 @@ def e11b(spark, sf):
     text = _size().cast("string")
     line = _cat("Restoring   ", text, "  /tape/", text, " --> /disk/", text, " [Done]")
     line = F.when(F.col("pos") % 2 == 0, line).otherwise("other")
-    return logs.restored_files(_lines(spark, sf, line)).select("file", "name", "file_size", "file_status")
+    return logs.restored_files(_stored(_lines(spark, sf, line))).select("file", "name", "file_size", "file_status")
 
 
 @query("e12_log_summary", """
@@ -102,7 +109,7 @@ def e14(spark, sf):
     rows = fx.rule_listing(spark, sf)
     expiry = F.when(F.col("expires") == "valid", "").otherwise(F.regexp_replace("expires", "_", "  "))
     line = F.concat_ws("  ", "rule_id", F.lit("account"), "did", "status", "rse", F.lit("1"), expiry)
-    parsed = listings.parse_rules(rows.select("did", F.col("seq").alias("line_no"), line.alias("line")))
+    parsed = listings.parse_rules(_stored(rows.select("did", F.col("seq").alias("line_no"), line.alias("line"))))
     return parsed.drop("line_no")
 
 
@@ -115,7 +122,7 @@ def e15(spark, sf):
                       F.col("checksum"), _cat(F.col("host"), ": srm://", F.col("host"), ":80", F.col("location")),
                       F.lit(""))
     line = F.when(F.col("checksum").isNotNull(), F.ltrim(row)).otherwise("+-------+")
-    return listings.parse_replicas(_lines(spark, sf, line))
+    return listings.parse_replicas(_stored(_lines(spark, sf, line)))
 
 
 @query("e15_parse_files", """
@@ -125,7 +132,7 @@ def e15b(spark, sf):
     row = F.concat_ws("|", F.lit(""), _cat(" scope:f", F.col("pos").cast("string"), " "), F.md5("location"),
                       _cat(" ad:", F.col("checksum")), _cat(" ", _size().cast("string")), F.lit(" "), F.lit(""))
     line = F.when(F.col("checksum").isNotNull(), row).otherwise("|-----------------------------+----|")
-    return listings.parse_files(_lines(spark, sf, line))
+    return listings.parse_files(_stored(_lines(spark, sf, line)))
 
 
 @query("e16_parse_downloads", """
@@ -153,7 +160,7 @@ def e16b(spark, sf):
     two = _cat("0 1 2 3 4 5 6 scope:f", pos, " successfully downloaded from ", F.col("host"), "]")
     rows = fx.replicas(spark, sf).select(
         F.col("run_number").alias("file"), F.col("pos").alias("line_no"), F.explode(F.array(one, two)).alias("line"))
-    return logs.downloaded_files(rows)
+    return logs.downloaded_files(_stored(rows))
 
 
 @query("e17_parse_usage", """

@@ -157,7 +157,7 @@ def catalogue_pass(masters=fx.MASTERS, host="site2", version="v1", now=fx.NOW):
         ("purge_processed", lambda t: drop(t, purge.processed_purge_plan(t["replicas"], host, version))),
         ("report", lambda t: {"report": t["replicas"].groupBy("host", "type", "status").agg(
             F.count(F.lit(1)).alias("n"))}),
-    ])
+    ], durable=["replicas"])
 
 
 @query("u4_composed_pass", f"""

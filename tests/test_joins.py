@@ -110,7 +110,7 @@ def test_verify_upload_by_name(spark, rows):
                                   "dataset string, file string, fingerprint string")
     cat = spark.createDataFrame([("d", "a", "x", "9"), ("d", "b", "x", "2"), ("e", "a", "y", "1")],
                                 "dataset string, file string, rse string, checksum string")
-    assert rows(joins.verify_upload(local, cat, "x")) == [
+    assert rows(joins.verify_upload(local, cat, "x", joined=True)) == [
         ("d", 2, 2, "transferred", ":9:2"), ("e", 1, 0, "RSEreupload", "n/a")]
-    assert rows(joins.verify_upload(local, cat, "x", check=True, joined=False)) == [
+    assert rows(joins.verify_upload(local, cat, "x", check=True)) == [
         ("d", 2, 1, "RSEreupload"), ("e", 1, 0, "RSEreupload")]
