@@ -17,20 +17,25 @@ LOCATION_FIELDS = ("pos", "host", "type", "version", "status", "location", "chec
 
 # -- checksums --------------------------------------------------------------
 
-def _master_version(masters: Masters) -> Column:
+def master_version(masters: Masters) -> Column:
     """Version that a replica's master must carry: its own, or none for unversioned types."""
     versioned = sorted({t for t, _, per_version in masters if per_version})
     return F.when(F.col("type").isin(versioned), F.col("version"))
 
 
-def master_checksum(replicas: DataFrame, masters: Masters) -> DataFrame:
-    """Checksum of the first transferred master location per (run, type, version)."""
+def is_master(masters: Masters) -> Column:
+    """Is this location one whose checksum is authoritative?"""
     hit = F.lit(False)
     for kind, host, per_version in masters:
         rule = (F.col("type") == kind) & (F.col("host") == host)
         hit = hit | (rule if per_version else rule & F.col("version").isNull())
-    rows = replicas.filter((F.col("status") == TRANSFERRED) & hit)
-    return rows.groupBy("run_number", "type", _master_version(masters).alias("version")).agg(
+    return hit
+
+
+def master_checksum(replicas: DataFrame, masters: Masters) -> DataFrame:
+    """Checksum of the first transferred master location per (run, type, version)."""
+    rows = replicas.filter((F.col("status") == TRANSFERRED) & is_master(masters))
+    return rows.groupBy("run_number", "type", master_version(masters).alias("version")).agg(
         F.min_by("checksum", "pos").alias("master_checksum"))
 
 
@@ -39,15 +44,15 @@ def with_master(replicas: DataFrame, masters: Masters, source: DataFrame | None
     found = master_checksum(replicas if source is None else source, masters).select(
         F.col("run_number").alias("_run"), F.col("type").alias("_type"), F.col("version").alias("_version"),
         "master_checksum")
-    left = replicas.withColumn("_mv", _master_version(masters))
+    left = replicas.withColumn("_mv", master_version(masters))
     return left.join(found, (F.col("run_number") == F.col("_run")) & (F.col("type") == F.col("_type"))
                      & F.col("_mv").eqNullSafe(F.col("_version")), "left").drop("_run", "_type", "_version", "_mv")
 
 
 def comparable() -> Column:
     """Replicas that take part in a checksum comparison."""
-    return ((F.col("status") == TRANSFERRED) & F.col("has_checksum") & F.col("host").isNotNull()
-            & (F.col("type") != UNTRIGGERED))
+    return F.coalesce((F.col("status") == TRANSFERRED) & F.col("has_checksum") & F.col("host").isNotNull()
+                      & (F.col("type") != UNTRIGGERED), F.lit(False))
 
 
 def compare_checksums(replicas: DataFrame, masters: Masters, catalogue: str) -> DataFrame:
