@@ -124,7 +124,7 @@ def downloaded_files(lines: DataFrame) -> DataFrame:
     """Files named by success messages: size and time from byte lines, endpoint from source lines."""
     line = F.col("line")
     rows = lines.filter(line.contains(K.DOWNLOAD_OK)).withColumn("_t", F.split(line, " "))
-    name = F.regexp_extract(line, "(?:^| )[^ :]*:([^ :]*)", 1)
+    name = F.regexp_extract(line, "(?:^| )[^ :]+:([^ :]+)(?= |$)", 1)
     sized, sourced = line.contains(K.DOWNLOAD_BYTES), line.contains(K.DOWNLOAD_FROM)
     out = rows.groupBy("file", name.alias("dw_file")).agg(
         F.bool_or(sourced).alias("_known"),
