@@ -19,7 +19,10 @@ DAEMON = {"processingTime": "60 seconds"}
 
 def new_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
               max_files: int | None = None) -> DataFrame:
-    """Stream of the rows in files not seen before; ``path`` is a directory or a glob."""
+    """Stream of the rows in files not seen before; ``path`` is a directory or a glob.
+
+    ``max_files`` bounds a micro-batch, and with it what keyed state receives of one key.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

@@ -17,8 +17,12 @@ ORDERS = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice d
           "o_orderpriority string")
 
 
+# Files per micro-batch: keyed state sees at most this much of one key's history at a time.
+STREAM_FILES = 16
+
+
 def _event_stream(spark, sf):
-    return jobs.new_files(spark, f"{sf}/events.parque[t]", EVENTS)
+    return jobs.new_files(spark, f"{sf}/events.parque[t]", EVENTS, max_files=STREAM_FILES)
 
 
 def _status_stream(spark, sf):
@@ -33,7 +37,7 @@ def _stateful(spark):
 @query("t1_new_runs", """
 SELECT o_orderkey AS number, o_orderdate AS start FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01 00:00:00'""")
 def t1(spark, sf):
-    stream = jobs.new_files(spark, f"{sf}/orders.parque[t]", ORDERS).select(
+    stream = jobs.new_files(spark, f"{sf}/orders.parque[t]", ORDERS, max_files=STREAM_FILES).select(
         F.col("o_orderkey").alias("number"), F.col("o_orderdate").alias("start"))
     out = jobs.drain(jobs.new_runs(stream, fx.ntz("1997-01-01 00:00:00")), jobs.append_to, "new-runs")
     return spark.read.schema("number long, start timestamp_ntz").parquet(out)
