@@ -43,16 +43,6 @@ RUNS = T.StructType([
     T.StructField("data", T.ArrayType(LOCATION)),
 ])
 
-# As written by the catalogue: creation_time may be text or a one-element list of text,
-# rule_info text or list, and the checksum key may be absent.
-_LOOSE = {"creation_time": T.StringType(), "rule_info": T.StringType()}
-RUNS_JSON = T.StructType([
-    T.StructField("data", T.ArrayType(T.StructType([
-        T.StructField(g.name, _LOOSE.get(g.name, g.dataType)) for g in LOCATION if g.name != "has_checksum"
-    ]))) if f.name == "data" else f
-    for f in RUNS
-] + [T.StructField("_corrupt_record", T.StringType())])
-
 CORRECTIONS = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("calculation_time", T.TimestampNTZType()),

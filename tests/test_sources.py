@@ -25,6 +25,19 @@ def test_runs_keep_missing_and_null_apart(spark, tmp_path, rows):
         (0, None, ["no_rule"], None, None), (1, ["r1", "r2"], ["r1:x"], 7, "v1")]
 
 
+def test_nested_processor_settings(spark, tmp_path):
+    doc = {"number": 1, "processor": {"DEFAULT": {"gains": [1.0, 2.5], "drift_velocity_liquid": 1.4e5},
+                                      "correction_versions": {"Drift": "1.0"}},
+           "reader": {"self_trigger": True, "ini": {"write_mode": 2, "trigger_config_override":
+                                                     {"Zip": {"events_per_file": 250}}}}}
+    path = tmp_path / "runs.json"
+    path.write_text(json.dumps(doc))
+    run = catalogue.read_runs(spark, str(path), "json").first()
+    assert run.gains == [1.0, 2.5] and run.params["drift_velocity_liquid"] == 1.4e5 and "gains" in run.params
+    assert run.correction_versions == {"Drift": "1.0"}
+    assert (run.reader.self_trigger, run.reader.ini.write_mode, run.reader.ini.events_per_file) == (True, 2, 250)
+
+
 def test_parquet_round_trip(spark, tmp_path):
     path = str(tmp_path / "runs")
     json_path = tmp_path / "r.json"
@@ -45,7 +58,8 @@ def test_only_the_first_rule_counts(spark, tmp_path, rows):
     path = tmp_path / "rule.json"
     path.write_text(json.dumps([{"run_nb": "5-8, 10", "destination_livetime": {"A": "-1"}, "verification_only": False},
                                 {"run_nb": "99"}], indent=1))
-    rules = catalogue.read_rules(spark, str(path)).withColumn("rule_id", F.lit(1).cast("long"))
+    rules = catalogue.read_rules(spark, str(path))
+    assert rules.first().rule_id is not None
     assert rows(catalogue.rule_numbers(rules), "number") == [(10,), (5,), (6,), (7,)]
     assert rules.first().destination_livetime == {"A": "-1"}
 
