@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,12 +18,15 @@ BROADCAST_BYTES = 32 << 20
 NODE_BITS = 3
 
 
+@cache
+def _local_scratch(application: str) -> str:
+    del application
+    return tempfile.mkdtemp(prefix="runledger-")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path in the cluster's shared checkpoint folder (a local one only if none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="runledger-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A fresh path in the shared folder named by ``spark.checkpoint.dir`` (a local one only if none is set)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch(spark.sparkContext.applicationId)
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 
 

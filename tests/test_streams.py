@@ -97,3 +97,17 @@ def test_pass_order_and_subset(spark):
     assert start["x"].columns == ["id"]
     with pytest.raises(KeyError):
         both.run(start, only=["c"])
+
+
+def test_scratch_follows_the_checkpoint_folder(spark, monkeypatch):
+    from runledger.scale import scratch_dir
+
+    class Conf:
+        def get(self, key, default):
+            return "/shared/folder" if key == "spark.checkpoint.dir" else default
+
+    class Session:
+        conf = Conf()
+
+    assert scratch_dir(Session(), "x").startswith("/shared/folder/x-")
+    assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
