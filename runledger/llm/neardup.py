@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ class Signature:
     chunks: int = 14
     chunk_symbols: int = 6
     seed: int = 1
-    #: One bit of each symbol forms a sketch of 84 bits; at similarity 0.8 or more, each differs with probability 0.1 at
-    #: most, and more than 26 do with probability 1e-8.
-    sketch_errors: int = 26
+    #: Longs of a set's bitmap.  Bits that differ are a lower bound for the shingles that differ, so comparing bitmaps
+    #: rules pairs out without ever losing one.
+    longs: int = 32
 
     @property
     def symbols(self) -> int:
@@ -40,7 +41,7 @@ class Signature:
         return a, draw.integers(0, 2**63, self.symbols, dtype=np.uint64)
 
 
-SET_SCHEMA = "doc_id long, n long, h1 long, h2 long, symbols binary, s1 long, s2 long"
+SET_SCHEMA = "doc_id long, n long, h1 long, h2 long, symbols binary, bits array<long>"
 HASHES = WordHashes()
 
 
@@ -63,25 +64,23 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 4096
 def _sign(size: int, signature: Signature):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = signature.factors()
-        half = signature.symbols // 2
-        weights = np.uint64(1) << np.arange(half, dtype=np.uint64)
         for batch in batches:
-            ids, n, keys, symbols, sketches = [], [], [], [], []
+            ids, n, keys, symbols, bitmaps = [], [], [], [], []
             for doc_id, text in columns(batch, "doc_id", "text"):
                 s = shingle_hashes(text, size)
                 low = mixed(minima(s, a, b) * MIX_A) if len(s) else np.zeros(signature.symbols, np.uint64)
-                bits = low >> np.uint64(63)
+                bits = np.zeros(64 * signature.longs, np.uint8)
+                bits[s % np.uint64(len(bits))] = 1
                 ids.append(doc_id)
                 n.append(len(s))
                 keys.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
                 symbols.append((low & np.uint64(255)).astype(np.uint8).tobytes())
-                sketches.append(((bits[:half] * weights).sum(), (bits[half:] * weights).sum()))
+                bitmaps.append(np.packbits(bits).view(np.int64))
             key = np.array(keys, np.int64).reshape(-1, 2)
-            sketch = np.array(sketches, np.uint64).reshape(-1, 2).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]),
-                 pa.array(symbols, pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
-                ["doc_id", "n", "h1", "h2", "symbols", "s1", "s2"])
+                 pa.array(symbols, pa.binary()), lists(bitmaps, pa.int64())],
+                ["doc_id", "n", "h1", "h2", "symbols", "bits"])
 
     return run
 
@@ -121,11 +120,12 @@ def _shingles(size: int):
     return run
 
 
-def _may_link(percent: int, errors: int) -> Column:
-    """Sizes allow the similarity, and the sketches are near."""
+def _may_link(percent: int, longs: int) -> Column:
+    """Sizes and bitmaps allow the similarity: the sets differ in at least as many shingles as the bitmaps in bits."""
     sizes = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    distance = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
-    return sizes & (distance <= errors)
+    differ = reduce(Column.__add__, (
+        F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(longs)))
+    return sizes & (differ * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, signat
     signs = written(docs.mapInArrow(_sign(shingle, signature), SET_SCHEMA), "signatures")
     classes = written(signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("symbols").alias("symbols"),
-        F.min("s1").alias("s1"), F.min("s2").alias("s2")), "classes")
+        F.min("bits").alias("bits")), "classes")
     links = _links(docs, classes, shingle, percent, signature)
     labels = connected(links)
     several = classes.where("copies > 1").select("h1", "h2", "n", "rep")
@@ -198,11 +198,11 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, sign
     keys = classes.select("rep", "symbols").mapInArrow(_index(signature), "key long, rep long")
     buckets = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = written(keys.join(written(buckets, "buckets"), "key"), "shared")
-    facts = classes.select("rep", "n", "s1", "s2")
+    facts = classes.select("rep", "n", "bits")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(facts.alias("a"), F.col("x") == F.col("a.rep")).join(facts.alias("b"), F.col("y") == F.col("b.rep"))
-        return pairs.where(_may_link(percent, signature.sketch_errors)).select(
+        return pairs.where(_may_link(percent, signature.longs)).select(
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     first = written(candidates(shared.where("rep <> center").select(
@@ -216,7 +216,7 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, sign
     rest = labelled.join(written(mixed_keys.select("key"), "mixed"), "key").join(facts, "rep")
     rest = written(rest, "rest")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label"))
-    second = rest.alias("a").join(rest.alias("b"), apart & _may_link(percent, signature.sketch_errors)).select(
+    second = rest.alias("a").join(rest.alias("b"), apart & _may_link(percent, signature.longs)).select(
         F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = _confirmed(docs, written(second, "second"), shingle, percent)
     return linked.union(more)
