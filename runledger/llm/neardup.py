@@ -53,6 +53,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(window_hashes(words, size))
 
 
+def set_key(shingles: np.ndarray) -> np.ndarray:
+    """128 bits that stand for the whole set."""
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+
+
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 4096) -> np.ndarray:
     """Smallest value of each permutation over the set, in blocks, so that long texts need no more memory."""
     low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
@@ -73,7 +78,7 @@ def _sign(size: int, signature: Signature):
                 bits[s % np.uint64(len(bits))] = 1
                 ids.append(doc_id)
                 n.append(len(s))
-                keys.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
+                keys.append(set_key(s))
                 symbols.append((low & np.uint64(255)).astype(np.uint8).tobytes())
                 bitmaps.append(np.packbits(bits).view(np.int64))
             key = np.array(keys, np.int64).reshape(-1, 2)
@@ -92,9 +97,9 @@ def _index(signature: Signature):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            reps = np.array(batch.column("rep").to_pylist(), np.int64)
+            nodes = np.array(batch.column("node").to_pylist(), np.int64)
             flat = np.frombuffer(b"".join(batch.column("symbols").to_pylist()), np.uint8)
-            symbols = flat.reshape(len(reps), signature.chunks, width).astype(np.uint64)
+            symbols = flat.reshape(len(nodes), signature.chunks, width).astype(np.uint64)
             for left_out in range(width):
                 rest = [symbols[:, :, j] for j in range(width) if j != left_out]
                 key = np.zeros(rest[0].shape, np.uint64)
@@ -103,7 +108,7 @@ def _index(signature: Signature):
                 place = np.arange(signature.chunks, dtype=np.uint64) * np.uint64(width) + np.uint64(left_out)
                 key = (key << np.uint64(8)) | place[None, :]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key.reshape(-1))), pa.array(np.repeat(reps, signature.chunks))], ["key", "rep"])
+                    [pa.array(signed(key.reshape(-1))), pa.array(np.repeat(nodes, signature.chunks))], ["key", "node"])
 
     return run
 
@@ -111,11 +116,10 @@ def _index(signature: Signature):
 def _shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = [], []
-            for doc_id, text in columns(batch, "doc_id", "text"):
-                ids.append(doc_id)
-                sets.append(signed(shingle_hashes(text, size)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(sets, pa.int64())], ["node", "shingles"])
+            sets = [shingle_hashes(text, size) for text in batch.column("text").to_pylist()]
+            key = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[:, 0]), pa.array(key[:, 1]), lists([signed(s) for s in sets], pa.int64())], ["h1", "h2", "shingles"])
 
     return run
 
@@ -128,11 +132,14 @@ def _may_link(percent: int, longs: int) -> Column:
     return sizes & (differ * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.join(broadcast_if_small(written(ids, "wanted")), "doc_id", "left_semi")
-    sets = written(wanted.mapInArrow(_shingles(size), "node long, shingles array<long>"), "sets")
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(classes.select("node", "rep", "h1", "h2").join(nodes, "node"), "wanted")
+    texts = docs.join(broadcast_if_small(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_shingles(size), "h1 long, h2 long, shingles array<long>").join(
+        wanted.select("node", "h1", "h2"), ["h1", "h2"])
+    sets = written(sets.select("node", "shingles"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
@@ -174,16 +181,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, signat
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = written(docs.mapInArrow(_sign(shingle, signature), SET_SCHEMA), "signatures")
-    classes = written(signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(
+    classes = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("symbols").alias("symbols"),
-        F.min("bits").alias("bits")), "classes")
-    links = _links(docs, classes, shingle, percent, signature)
-    labels = connected(links)
-    several = classes.where("copies > 1").select("h1", "h2", "n", "rep")
-    rows = signs.select("doc_id", "n", "h1", "h2").join(written(several, "copies"), ["h1", "h2", "n"], "left")
-    node = F.coalesce("rep", "doc_id")
-    rows = rows.withColumn("node", F.when(F.col("n") > 0, node).otherwise(F.lit(None))).join(labels, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id"))
+        F.min("bits").alias("bits"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    labels = connected(_links(docs, classes, shingle, percent, signature))
+    nodes = classes.join(labels, "node", "left").where("copies > 1 OR label IS NOT NULL").withColumn(
+        "label", F.coalesce("label", "node"))
+    nodes = written(nodes.select("h1", "h2", "n", "rep", "label"), "nodes")
+    smallest = written(nodes.groupBy("label").agg(F.min("rep").alias("component")), "components")
+    known = written(nodes.join(smallest, "label").select("h1", "h2", "n", "component"), "known")
+    rows = signs.select("doc_id", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -195,30 +204,30 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, sign
     one tests the pairs of a bucket that the first has not connected; a bucket whose members are all connected, such as
     one of thousands of near copies, has none.
     """
-    keys = classes.select("rep", "symbols").mapInArrow(_index(signature), "key long, rep long")
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    keys = classes.select("node", "symbols").mapInArrow(_index(signature), "key long, node long")
+    buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = written(keys.join(written(buckets, "buckets"), "key"), "shared")
-    facts = classes.select("rep", "n", "bits")
+    facts = classes.select("node", "n", "bits")
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(facts.alias("a"), F.col("x") == F.col("a.rep")).join(facts.alias("b"), F.col("y") == F.col("b.rep"))
+        pairs = pairs.join(facts.alias("a"), F.col("x") == F.col("a.node")).join(facts.alias("b"), F.col("y") == F.col("b.node"))
         return pairs.where(_may_link(percent, signature.longs)).select(
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    first = written(candidates(shared.where("rep <> center").select(
-        F.col("center").alias("x"), F.col("rep").alias("y")).distinct()), "first")
-    linked = written(_confirmed(docs, first, shingle, percent), "linked")
+    first = written(candidates(shared.where("node <> center").select(
+        F.col("center").alias("x"), F.col("node").alias("y")).distinct()), "first")
+    linked = written(_confirmed(docs, classes, first, shingle, percent), "linked")
     labels = connected(linked)
-    labelled = shared.where("members > 2").select("key", "rep").join(
-        labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    labelled = shared.where("members > 2").select("key", "node").join(labels, "node", "left").select(
+        "key", "node", F.coalesce("label", "node").alias("label"))
     labelled = written(labelled, "labelled")
     mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    rest = labelled.join(written(mixed_keys.select("key"), "mixed"), "key").join(facts, "rep")
+    rest = labelled.join(written(mixed_keys.select("key"), "mixed"), "key").join(facts, "node")
     rest = written(rest, "rest")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label"))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
     second = rest.alias("a").join(rest.alias("b"), apart & _may_link(percent, signature.longs)).select(
-        F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _confirmed(docs, written(second, "second"), shingle, percent)
+        F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = _confirmed(docs, classes, written(second, "second"), shingle, percent)
     return linked.union(more)
 
 

@@ -56,13 +56,15 @@ def _repeats(words: Column) -> Column:
     """Words inside windows of five that the text holds twice or more.
 
     Hashes of all windows are sorted; only a text with equal neighbours looks at positions, which are sorted with their
-    hashes, so the cost is n log n for any text.
+    hashes, so the cost is n log n for any text.  The words are bound by a lambda: if the optimizer moves this
+    expression, they are still computed once for a text, not once for a window.
     """
-    n = F.size(words)
-    window = F.transform(
-        F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))),
-    )
+    def window(w: Column) -> Column:
+        n = F.size(w)
+        return F.transform(
+            F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>")),
+            lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))),
+        )
 
     def starts(hashes: Column) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -84,7 +86,7 @@ def _repeats(words: Column) -> Column:
         many = F.size(F.array_distinct(hashes)) < F.size(hashes)
         return F.when(many, F.transform(F.array(starts(hashes)), covered)[0]).otherwise(F.lit(0))
 
-    return F.transform(F.array(window), count)[0].cast("long")
+    return F.transform(F.transform(F.array(words), window), count)[0].cast("long")
 
 
 def quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
@@ -136,7 +138,9 @@ def _visible(text: Column) -> Column:
 
 def without_rejected(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """The documents kept, with failing lines taken out of their text; all columns stay, ``n_chars`` follows the text."""
-    judged = quality(docs.select(*docs.columns, F.struct("*").alias("_row")), rules, text).where("kept")
+    judged = quality(docs.select(*docs.columns, F.struct("*").alias("_row")), rules, text)
+    # a row number in the condition keeps it above the rules, which are then evaluated once
+    judged = judged.withColumn("_at", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_at") >= 0))
     back = [F.col("clean_text").alias(text) if c == text
             else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col("_row")[c].alias(c)
             for c in docs.columns]
