@@ -114,7 +114,7 @@ def range_lookup(runs: DataFrame, ranges: DataFrame, number: str = "number", out
         return found.select(*runs.columns, best["value"].alias(out))
     keyed = runs.select(number, F.explode(point_nodes(F.col(number), levels)).alias("_p")).select(number, "_p.*")
     hits = keyed.join(nodes, ["level", "node"]).groupBy(number).agg(F.min_by("value", "pos").alias(out))
-    return runs.join(hits, number, "left")
+    return runs.join(hits, number, "left").select(*runs.columns, out)
 
 
 def interval_sums(intervals: DataFrame, readings: DataFrame, key: str, sensor: str | None = None) -> DataFrame:
@@ -187,36 +187,29 @@ def matched_uploads(local: DataFrame, catalogue: DataFrame, rse: str, check: boo
 
     ``check`` also demands that the checksum equals the local ``fingerprint``.
     """
-    mine = local.select("dataset", "file", F.lit(True).alias("_local"), F.lit(None).cast("string").alias("checksum"),
+    mine = local.select("dataset", "file", F.lit(True).alias("_local"), F.lit(False).alias("_there"),
+                        F.lit(None).cast("string").alias("checksum"),
                         (F.col("fingerprint") if check else F.lit(None).cast("string")).alias("_print"))
     theirs = catalogue.filter(F.col("rse") == rse).select(
-        "dataset", "file", F.lit(False), "checksum", F.lit(None).cast("string"))
+        "dataset", "file", F.lit(False), F.lit(True), "checksum", F.lit(None).cast("string"))
     per_file = mine.union(theirs).groupBy("dataset", "file").agg(
-        F.bool_or("_local").alias("_local"), F.max("checksum").alias("checksum"), F.max("_print").alias("_print"))
-    found = F.col("checksum").isNotNull()
+        F.bool_or("_local").alias("_local"), F.bool_or("_there").alias("_there"),
+        F.max("checksum").alias("checksum"), F.max("_print").alias("_print"))
+    found = F.col("_there")
     if check:
         found = found & (F.col("checksum") == F.col("_print"))
     return per_file.filter("_local").select("dataset", "file", "checksum", F.coalesce(found, F.lit(False)).alias("found"))
 
 
-def verify_upload(local: DataFrame, catalogue: DataFrame, rse: str, check: bool = False,
-                  joined: bool = False) -> DataFrame:
+def verify_upload(local: DataFrame, catalogue: DataFrame, rse: str, check: bool = False) -> DataFrame:
     """Upload state per dataset: every local file must be found by name at the endpoint.
 
-    The checksums of a complete dataset are the rows of ``matched_uploads``; ``joined``
-    also brings them together as one text per dataset, in file order.
+    The checksums of a complete dataset are the rows of ``matched_uploads``.
     """
-    hits = matched_uploads(local, catalogue, rse, check)
-    aggs = [F.count(F.lit(1)).alias("n_files"), F.count_if("found").alias("n_found")]
-    if joined:
-        aggs.append(F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("file", "checksum")))).alias("_c"))
-    out = hits.groupBy("dataset").agg(*aggs)
-    complete = F.col("n_found") == F.col("n_files")
-    columns = ["dataset", "n_files", "n_found", F.when(complete, TRANSFERRED).otherwise(REUPLOAD).alias("status")]
-    if joined:
-        text = F.concat(F.lit(":"), F.concat_ws(":", F.col("_c.checksum")))
-        columns.append(F.when(complete, text).otherwise("n/a").alias("checksum"))
-    return out.select(*columns)
+    out = matched_uploads(local, catalogue, rse, check).groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if("found").alias("n_found"))
+    status = F.when(F.col("n_found") == F.col("n_files"), TRANSFERRED).otherwise(REUPLOAD)
+    return out.select("dataset", "n_files", "n_found", status.alias("status"))
 
 
 # -- rules ------------------------------------------------------------------

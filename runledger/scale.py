@@ -25,8 +25,12 @@ def _local_scratch(application: str) -> str:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder named by ``spark.checkpoint.dir`` (a local one only if none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch(spark.sparkContext.applicationId)
+    """A fresh path in the shared folder named by ``spark.checkpoint.dir``; where none is set, a local run gets its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local_scratch(spark.sparkContext.applicationId)
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 
 

@@ -115,15 +115,15 @@ def _uploads(spark, sf):
 
 
 @query("j9_verify_upload", UPLOADED_SQL + """
-SELECT l.dataset, count(*) AS n_files, count(t.checksum) AS n_found,
-  CASE WHEN count(t.checksum) = count(*) THEN 'transferred' ELSE 'RSEreupload' END AS status
+SELECT l.dataset, count(*) AS n_files, count(t.file) AS n_found,
+  CASE WHEN count(t.file) = count(*) THEN 'transferred' ELSE 'RSEreupload' END AS status
 FROM local l LEFT JOIN there t ON l.dataset = t.dataset AND l.file = t.file GROUP BY l.dataset""", "listing")
 def j9(spark, sf):
     return op.verify_upload(*_uploads(spark, sf), "entrance")
 
 
 @query("j9_matched_uploads", UPLOADED_SQL + """
-SELECT l.dataset, l.file, t.checksum, t.checksum IS NOT NULL AS found
+SELECT l.dataset, l.file, t.checksum, t.file IS NOT NULL AS found
 FROM local l LEFT JOIN there t ON l.dataset = t.dataset AND l.file = t.file""", "listing")
 def j9_rows(spark, sf):
     return op.matched_uploads(*_uploads(spark, sf), "entrance")

@@ -66,6 +66,8 @@ def test_range_lookup(spark, rows, monkeypatch, broadcast):
     monkeypatch.setattr(joins, "is_small", lambda df: broadcast)
     runs = spark.createDataFrame([(n,) for n in (9, 10, 19, 20, 39, 40, 500, 1000, 2000, 2001)], "number long")
     ranges = spark.createDataFrame(RANGES, "pos long, min long, max long, value string")
+    named = joins.range_lookup(runs.select(F.lit("x").alias("name"), "number"), ranges)
+    assert named.dtypes == [("name", "string"), ("number", "bigint"), ("value", "string")]
     assert rows(joins.range_lookup(runs, ranges)) == sorted([
         (9, "c"), (10, "a"), (19, "a"), (20, "b"), (39, "b"), (40, "c"), (500, "c"), (1000, None), (2000, "d"),
         (2001, None)], key=repr)
@@ -108,9 +110,9 @@ def test_strays(spark, rows):
 def test_verify_upload_by_name(spark, rows):
     local = spark.createDataFrame([("d", "a", "1"), ("d", "b", "2"), ("e", "a", "1")],
                                   "dataset string, file string, fingerprint string")
-    cat = spark.createDataFrame([("d", "a", "x", "9"), ("d", "b", "x", "2"), ("e", "a", "y", "1")],
+    cat = spark.createDataFrame([("d", "a", "x", None), ("d", "b", "x", "2"), ("e", "a", "y", "1")],
                                 "dataset string, file string, rse string, checksum string")
-    assert rows(joins.verify_upload(local, cat, "x", joined=True)) == [
-        ("d", 2, 2, "transferred", ":9:2"), ("e", 1, 0, "RSEreupload", "n/a")]
+    assert rows(joins.verify_upload(local, cat, "x")) == [("d", 2, 2, "transferred"), ("e", 1, 0, "RSEreupload")]
+    assert rows(joins.matched_uploads(local, cat, "x")) == [("d", "a", None, True), ("d", "b", "2", True), ("e", "a", None, False)]
     assert rows(joins.verify_upload(local, cat, "x", check=True)) == [
         ("d", 2, 1, "RSEreupload"), ("e", 1, 0, "RSEreupload")]
