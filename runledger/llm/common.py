@@ -19,7 +19,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACES_PATTERN = r"[\x20\x09-\x0D]+"
 
 #: Words whose hashes a worker keeps; beyond it the table starts anew.
-HASHED_WORDS = 1_000_000
+HASHED_WORDS = 250_000
 
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
