@@ -1,15 +1,15 @@
 """Order-dependent checks on replica status: stall alarms and illegal transitions.
 
-Each check has a batch form, which splits a replica's history by time buckets, and a
-stream form with keyed state.
+Each check has a batch form and a stream form.  Both split a replica's history by time
+buckets: rows are ordered inside a bucket, and one row per bucket meets its neighbour.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,9 +28,14 @@ FINISHED = (TRANSFERRED, VERIFYING)
 HOUR_MS = 3_600_000
 LEVELS = (("alert", STALL_ALERT_HOURS * HOUR_MS), ("purge", STALL_PURGE_HOURS * HOUR_MS))
 BUCKET_SECONDS = 86_400
+STREAM_BUCKET_SECONDS = 7 * 86_400
 
-ALARM_SCHEMA = "replica_id long, event_id long, since_ms long, status string, level string"
-TRANSITION_SCHEMA = "replica_id long, event_id long, prev_status string, status string"
+EVENT = {"event_id": "long", "ms": "long", "status": "string"}
+#: Summary of a bucket: its first and last event, and neighbours (before, after) of interest inside it.
+SUMMARY_SCHEMA = ", ".join(
+    ["replica_id long", "bucket long", "seen long"]
+    + [f"{side}_{name} {kind}" for side in ("first", "last") for name, kind in EVENT.items()]
+    + [f"{side}_{name} array<{kind}>" for side in ("before", "after") for name, kind in EVENT.items()])
 
 
 def _millis(ts: str) -> Column:
@@ -59,7 +64,10 @@ def stall_alarms(events: DataFrame, now_ms: Column, bucket_seconds: int = BUCKET
     back = events.select("replica_id", "event_id", "status", _millis("ts").alias("since_ms"),
                          (-_millis("ts")).alias("_t"), (-F.col("event_id")).alias("_e"))
     rows = previous_in_key(back, "replica_id", ["_t", "_e"], F.floor(F.col("_t") / (bucket_seconds * 1000)), ["since_ms"])
-    idle = F.coalesce("prev_since_ms", now_ms) - F.col("since_ms")
+    return _alarms(rows, F.coalesce("prev_since_ms", now_ms) - F.col("since_ms"))
+
+
+def _alarms(rows: DataFrame, idle: Column) -> DataFrame:
     open_ = rows.filter(~F.col("status").isin(*FINISHED)).withColumn("_idle", idle)
     level = F.array_compact(F.array(*[F.when(F.col("_idle") > limit, name) for name, limit in LEVELS]))
     return open_.select("replica_id", "event_id", "since_ms", "status", F.explode(level).alias("level"))
@@ -67,89 +75,108 @@ def stall_alarms(events: DataFrame, now_ms: Column, bucket_seconds: int = BUCKET
 
 # -- stream -----------------------------------------------------------------
 
-class _StallProcessor(StatefulProcessor):
-    """Last event per replica, and the alarm levels already raised for it."""
+Event = tuple[int, int, str]  # ms, event_id, status
+
+
+def _may_stall(before: Event, after: Event) -> bool:
+    return before[2] not in FINISHED and after[0] - before[0] > LEVELS[0][1]
+
+
+def _may_be_illegal(before: Event, after: Event) -> bool:
+    return before[2] != after[2] and after[2] not in LEGAL.get(before[2], ())
+
+
+class _BucketProcessor(StatefulProcessor):
+    """Events of one replica in one time bucket; every change emits the bucket's new summary.
+
+    ``seen`` counts the events, so the summary with the largest count is the newest.
+    """
+
+    def __init__(self, of_interest: Callable[[Event, Event], bool], bucket_ms: int, closes: bool):
+        self.of_interest, self.bucket_ms, self.closes = of_interest, bucket_ms, closes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "event_id long, since_ms long, status string, raised int")
+        self.events = handle.getListState("events", "ms long, event_id long, status string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([r[["event_id", "since_ms", "status"]] for r in rows]).sort_values(["since_ms", "event_id"])
-        new["raised"] = 0
-        if self.last.exists():
-            kept = pd.DataFrame([tuple(self.last.get())], columns=["event_id", "since_ms", "status", "raised"])
-            new = pd.concat([kept, new]).sort_values(["since_ms", "event_id"])
-        idle = new["since_ms"].shift(-1) - new["since_ms"]
-        waiting = ~new["status"].isin(FINISHED)
-        for n, (name, limit) in enumerate(LEVELS):
-            hit = new[waiting & (idle > limit) & (new["raised"] <= n)]
-            if len(hit):
-                yield self._alarms(key[0], hit, name)
-        end = new.iloc[-1]
-        self.last.update((int(end.event_id), int(end.since_ms), end.status, int(end.raised)))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if end.status not in FINISHED:
-            for _, limit in LEVELS[int(end.raised):]:
-                self.handle.registerTimer(int(end.since_ms) + limit + 1)
+        events = [tuple(e) for e in self.events.get()]
+        if self.closes and not events:
+            self.handle.registerTimer((int(key[1]) + 1) * self.bucket_ms)
+        for part in rows:
+            events += zip(part["ms"].tolist(), part["event_id"].tolist(), part["status"].tolist())
+        events.sort(key=lambda e: e[:2])
+        self.events.put(events)
+        pairs = [p for p in zip(events, events[1:]) if self.of_interest(*p)]
+        row = {"replica_id": key[0], "bucket": key[1], "seen": len(events)}
+        for side, (ms, event_id, status) in (("first", events[0]), ("last", events[-1])):
+            row |= {f"{side}_event_id": event_id, f"{side}_ms": ms, f"{side}_status": status}
+        for n, side in enumerate(("before", "after")):
+            row |= {f"{side}_event_id": [p[n][1] for p in pairs], f"{side}_ms": [p[n][0] for p in pairs],
+                    f"{side}_status": [p[n][2] for p in pairs]}
+        yield pd.DataFrame([row])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        event_id, since_ms, status, raised = self.last.get()
-        idle = expiredTimerInfo.getExpiryTimeInMs() - since_ms
-        for n, (name, limit) in enumerate(LEVELS):
-            if n >= raised and idle > limit:
-                raised = n + 1
-                yield self._alarms(key[0], pd.DataFrame({"event_id": [event_id], "since_ms": [since_ms],
-                                                         "status": [status]}), name)
-        self.last.update((event_id, since_ms, status, raised))
-
-    @staticmethod
-    def _alarms(replica, rows: pd.DataFrame, level: str) -> pd.DataFrame:
-        out = rows[["event_id", "since_ms", "status"]].assign(level=level)
-        out.insert(0, "replica_id", replica)
-        return out
+        self.events.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-class _TransitionProcessor(StatefulProcessor):
-    """Last status per replica."""
+def _summaries(events: DataFrame, of_interest: Callable, bucket_seconds: int, retention: str | None) -> DataFrame:
+    """Stream of bucket summaries, in any order of arrival; a row without a time is left out.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string")
+    Without ``retention`` no row is ever late, and state holds the whole history.  With it, rows that lag behind the
+    newest by more are dropped, and the state of buckets that end before that is freed.
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).filter(F.col("ts").isNotNull())
+    if retention is not None:
+        rows = rows.withWatermark("ts", retention)
+    keyed = rows.select("replica_id", F.floor(F.unix_millis("ts") / (bucket_seconds * 1000)).alias("bucket"), "event_id",
+                        "ts", F.unix_millis("ts").alias("ms"), "status")
+    return keyed.groupBy("replica_id", "bucket").transformWithStateInPandas(
+        _BucketProcessor(of_interest, bucket_seconds * 1000, retention is not None), SUMMARY_SCHEMA, "Append",
+        "None" if retention is None else "EventTime")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([r[["event_id", "since_ms", "status"]] for r in rows]).sort_values(["since_ms", "event_id"])
-        before = new["status"].shift(1)
-        if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
-        self.last.update((new["status"].iloc[-1],))
-        legal_pairs = {(a, b) for a, bs in LEGAL.items() for b in (a, *bs)}
-        bad = [b is not None and isinstance(b, str) and (b, s) not in legal_pairs for b, s in zip(before, new["status"])]
-        out = new.assign(prev_status=before, replica_id=key[0])[bad]
-        yield out[["replica_id", "event_id", "prev_status", "status"]]
 
-    def close(self) -> None:
-        pass
+def stall_summaries(events: DataFrame, bucket_seconds: int = STREAM_BUCKET_SECONDS, retention: str | None = None) -> DataFrame:
+    """Stream that ``stalled`` reads.  Needs a state store with column families (RocksDB)."""
+    return _summaries(events, _may_stall, bucket_seconds, retention)
 
 
-def _keyed(events: DataFrame, watermark: str) -> DataFrame:
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return rows.select("replica_id", "event_id", "ts", "status", F.unix_millis("ts").alias("since_ms"))
+def transition_summaries(events: DataFrame, bucket_seconds: int = STREAM_BUCKET_SECONDS,
+                         retention: str | None = None) -> DataFrame:
+    """Stream that ``illegal`` reads.  Needs a state store with column families (RocksDB)."""
+    return _summaries(events, _may_be_illegal, bucket_seconds, retention)
 
 
-def stall_alarm_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Alarms as the watermark passes 2 h and 24 h after the last event of an unfinished replica.
+def _neighbours(summaries: DataFrame) -> DataFrame:
+    """(replica_id, before, after) of interest inside buckets and all across them; the last event has no ``after``."""
+    key = ("replica_id", "bucket")
+    fields = F.struct(*[c for c in summaries.columns if c not in key])
+    newest = summaries.groupBy(*key).agg(F.max_by(fields, "seen").alias("_s")).select(*key, "_s.*")
 
-    Needs a state store with column families (RocksDB).
-    """
-    return _keyed(events, watermark).groupBy("replica_id").transformWithStateInPandas(
-        _StallProcessor(), ALARM_SCHEMA, "Append", "EventTime")
+    def side(name: str, row: str = "") -> Column:
+        return F.struct(*[F.col(f"{row}{name}_{f}").alias(f) for f in EVENT])
+
+    following = F.lead(side("first")).over(Window.partitionBy("replica_id").orderBy("bucket"))
+    across = newest.select("replica_id", side("last").alias("before"), following.alias("after"))
+    pairs = F.arrays_zip(*[f"{s}_{f}" for s in ("before", "after") for f in EVENT])
+    inside = newest.select("replica_id", F.explode(pairs).alias("_p")).select(
+        "replica_id", side("before", "_p.").alias("before"), side("after", "_p.").alias("after"))
+    return inside.unionByName(across)
+
+
+def stalled(summaries: DataFrame, now_ms: Column) -> DataFrame:
+    """Alarms as of ``now_ms`` from stored ``stall_summaries``: the rows of ``stall_alarms`` over the same events."""
+    rows = _neighbours(summaries).select(
+        "replica_id", "before.event_id", F.col("before.ms").alias("since_ms"), "before.status", "after.ms")
+    return _alarms(rows, F.coalesce("ms", now_ms) - F.col("since_ms"))
 
 
-def bad_transition_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Illegal transitions in arrival batches; events of one batch are ordered by time."""
-    return _keyed(events, watermark).groupBy("replica_id").transformWithStateInPandas(
-        _TransitionProcessor(), TRANSITION_SCHEMA, "Append", "None")
+def illegal(summaries: DataFrame) -> DataFrame:
+    """Illegal changes from stored ``transition_summaries``: the rows of ``bad_transitions`` over the same events."""
+    rows = _neighbours(summaries).select(
+        "replica_id", "after.event_id", F.col("before.status").alias("prev_status"), "after.status")
+    return rows.filter(F.col("prev_status").isNotNull() & ~legal(F.col("prev_status"), F.col("status")))

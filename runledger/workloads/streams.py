@@ -8,16 +8,18 @@ from .. import hooks
 from ..operators import mutate
 from ..operators.aggregate import good_copies
 from ..plans import corrections, purge
+from ..scale import scratch_dir
 from ..session import ROCKSDB
 from ..streaming import jobs, state
 from .registry import query
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+STATUS = "event_id long, ts timestamp_ntz, replica_id long, status string"
 ORDERS = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
           "o_orderpriority string")
 
 
-# Files per micro-batch: keyed state sees at most this much of one key's history at a time.
+# Files per micro-batch.
 STREAM_FILES = 16
 
 
@@ -30,6 +32,13 @@ def _status_stream(spark, sf):
         "event_id", "ts", F.col("user_id").alias("replica_id"), fx.status_of(F.col("event_type")).alias("status"))
 
 
+def _shuffled_status_stream(spark, sf, files=8, max_files=4):
+    """The events in several files whose times overlap, read in more than one batch."""
+    path = scratch_dir(spark, "events")
+    fx.status_events(spark, sf).repartition(files, "event_id").write.parquet(path)
+    return jobs.new_files(spark, path, STATUS, max_files=max_files)
+
+
 def _stateful(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
@@ -55,23 +64,26 @@ STALL_SQL = """
 SELECT replica_id, event_id, since_ms, status, unnest(CASE WHEN idle > 86400000 THEN ['alert', 'purge']
   WHEN idle > 7200000 THEN ['alert'] ELSE [] END) AS level FROM (
   SELECT *, coalesce(lead(since_ms) OVER (PARTITION BY replica_id ORDER BY since_ms, event_id),
-      (SELECT max(epoch_us(ts) // 1000) - {delay} FROM status_events)) - since_ms AS idle
+      (SELECT max(epoch_us(ts) // 1000) FROM status_events)) - since_ms AS idle
   FROM (SELECT replica_id, event_id, status, epoch_us(ts) // 1000 AS since_ms FROM status_events) e) x
 WHERE status NOT IN ('transferred', 'verifying')"""
 
 
-@query("t3_stall_alarms", STALL_SQL.format(delay=0), "status_events")
+@query("t3_stall_alarms", STALL_SQL, "status_events")
 def t3(spark, sf):
-    events = fx.status_events(spark, sf)
-    now = events.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0]
-    return state.stall_alarms(events, F.lit(now))
+    return state.stall_alarms(fx.status_events(spark, sf), _newest(spark, sf))
+
+
+def _newest(spark, sf):
+    times = fx.status_events(spark, sf).agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))))
+    return F.lit(times.first()[0])
 
 
-@query("t3_stall_alarm_stream", STALL_SQL.format(delay=600_000), "status_events")
+@query("t3_stall_alarm_stream", STALL_SQL, "status_events")
 def t3s(spark, sf):
     _stateful(spark)
-    out = jobs.drain(state.stall_alarm_stream(_status_stream(spark, sf)), jobs.append_to, "alarms")
-    return spark.read.schema(state.ALARM_SCHEMA).parquet(out)
+    out = jobs.drain(state.stall_summaries(_shuffled_status_stream(spark, sf)), jobs.append_to, "stalls")
+    return state.stalled(spark.read.schema(state.SUMMARY_SCHEMA).parquet(out), _newest(spark, sf))
 
 
 TRANSITION_SQL = """
@@ -91,8 +103,8 @@ def t4(spark, sf):
 @query("t4_bad_transition_stream", TRANSITION_SQL, "status_events")
 def t4s(spark, sf):
     _stateful(spark)
-    out = jobs.drain(state.bad_transition_stream(_status_stream(spark, sf)), jobs.append_to, "transitions")
-    return spark.read.schema(state.TRANSITION_SCHEMA).parquet(out)
+    out = jobs.drain(state.transition_summaries(_shuffled_status_stream(spark, sf)), jobs.append_to, "transitions")
+    return state.illegal(spark.read.schema(state.SUMMARY_SCHEMA).parquet(out))
 
 
 @query("t5_transfer_series", """

@@ -37,24 +37,55 @@ def stream(spark, source):
     return jobs.new_files(spark, source, SCHEMA, max_files=1)
 
 
-def test_stall_alarms_stream_equals_batch(spark, source, rows):
-    out = jobs.drain(state.stall_alarm_stream(stream(spark, source), "10 minutes"), jobs.append_to, "alarms")
-    got = rows(spark.read.schema(state.ALARM_SCHEMA).parquet(out), "replica_id", "event_id", "level")
-    last = max(e[1] for e in EVENTS) - dt.timedelta(minutes=10)
-    now = F.lit(int(last.replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
+@pytest.fixture
+def shuffled(spark, tmp_path):
+    """Events in four files whose times overlap, the newest ones first."""
+    path = str(tmp_path / "shuffled")
+    for n in range(4):
+        spark.createDataFrame(EVENTS[::-1][n::4], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def summaries(spark, source, stream_of, max_files, **options):
+    events = jobs.new_files(spark, source, SCHEMA, max_files=max_files)
+    out = jobs.drain(stream_of(events, **options), jobs.append_to, "summaries")
+    return spark.read.schema(state.SUMMARY_SCHEMA).parquet(out)
+
+
+@pytest.mark.parametrize("max_files", [1, 3, None])
+def test_stalls_do_not_depend_on_batches(spark, shuffled, rows, max_files):
+    now = F.lit(int((T0 + dt.timedelta(minutes=4000)).replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
+    got = rows(state.stalled(summaries(spark, shuffled, state.stall_summaries, max_files, bucket_seconds=3600), now),
+               "replica_id", "event_id", "level")
     batch = state.stall_alarms(spark.createDataFrame(EVENTS, SCHEMA), now, bucket_seconds=3600)
     assert got == rows(batch, "replica_id", "event_id", "level")
     assert got == [(2, 12, "alert"), (2, 12, "purge"), (2, 4, "alert"), (2, 5, "alert"), (2, 5, "purge"),
                    (3, 7, "alert"), (3, 7, "purge")]
 
 
-def test_transitions_stream_equals_batch(spark, source, rows):
-    out = jobs.drain(state.bad_transition_stream(stream(spark, source)), jobs.append_to, "transitions")
-    got = rows(spark.read.schema(state.TRANSITION_SCHEMA).parquet(out))
+@pytest.mark.parametrize("max_files", [1, None])
+def test_transitions_do_not_depend_on_batches(spark, shuffled, rows, max_files):
+    got = rows(state.illegal(summaries(spark, shuffled, state.transition_summaries, max_files)))
     assert got == rows(state.bad_transitions(spark.createDataFrame(EVENTS, SCHEMA), bucket_seconds=600))
     assert got == [(5, 10, "transferred", "verifying")]
 
 
+def test_late_event_between_two_takes_an_alarm_back(spark, tmp_path, rows):
+    """A status that arrives late, but lies between two others, ends the wait that they seemed to span."""
+    path = str(tmp_path / "late")
+    for e in (event(1, 0, 1, "transferring"), event(2, 125, 1, "verifying"), event(3, 118, 1, "error")):
+        spark.createDataFrame([e], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    now = F.lit(0)
+    assert rows(state.stalled(summaries(spark, path, state.stall_summaries, 1), now)) == []
+    got = rows(state.illegal(summaries(spark, path, state.transition_summaries, 1)), "event_id", "prev_status")
+    assert got == [(2, "error")]
+
+
+def test_retention_frees_old_buckets_and_keeps_their_results(spark, source, rows):
+    kept = summaries(spark, source, state.transition_summaries, 1, bucket_seconds=3600, retention="10 minutes")
+    assert rows(state.illegal(kept)) == [(5, 10, "transferred", "verifying")]
+
+
 def test_state_and_series_over_several_batches(spark, source, rows):
     out = jobs.drain(jobs.current_state(stream(spark, source)), jobs.upsert_to, "state")
     latest = jobs.latest_rows(spark, out, ["replica_id"])
