@@ -200,9 +200,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, signat
 def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, signature: Signature) -> DataFrame:
     """Links between classes that together connect whatever any links connect.
 
-    A first round tests each member of a bucket against the bucket's smallest node: one candidate per member.  A second
-    one tests the pairs of a bucket that the first has not connected; a bucket whose members are all connected, such as
-    one of thousands of near copies, has none.
+    A first round tests each member of a bucket against the bucket's smallest node, a second one those that are not yet
+    connected with a member drawn by hash, which differs from bucket to bucket: at most one candidate per member each.
+    The last round tests the pairs of a bucket that are still unconnected; a bucket whose members are all connected,
+    such as one of thousands of near copies, has none.
     """
     keys = classes.select("node", "symbols").mapInArrow(_index(signature), "key long, node long")
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -217,20 +218,30 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, sign
     first = written(candidates(shared.where("node <> center").select(
         F.col("center").alias("x"), F.col("node").alias("y")).distinct()), "first")
     linked = written(_confirmed(docs, classes, first, shingle, percent), "linked")
-    labels = connected(linked)
-    labelled = shared.where("members > 2").select("key", "node").join(labels, "node", "left").select(
-        "key", "node", F.coalesce("label", "node").alias("label"))
-    labelled = written(labelled, "labelled")
-    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    rest = labelled.join(written(mixed_keys.select("key"), "mixed"), "key").join(facts, "node")
-    rest = written(rest, "rest")
+
+    rest = _unconnected(shared.where("members > 2"), connected(linked))
+    centers = rest.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("key", "node")).alias("center"))
+    drawn = rest.join(centers, "key").where("label <> center.label").select(
+        F.col("center.node").alias("x"), F.col("node").alias("y")).distinct()
+    drawn = written(candidates(drawn).join(first, ["a", "b"], "left_anti"), "drawn")
+    linked = written(linked.union(_confirmed(docs, classes, drawn, shingle, percent)), "linked")
+
+    rest = written(_unconnected(rest, connected(linked)).join(facts, "node"), "rest")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
-    second = rest.alias("a").join(rest.alias("b"), apart & _may_link(percent, signature.longs)).select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _confirmed(docs, classes, written(second, "second"), shingle, percent)
+    last = rest.alias("a").join(rest.alias("b"), apart & _may_link(percent, signature.longs)).select(
+        F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(first.union(drawn), ["a", "b"], "left_anti")
+    more = _confirmed(docs, classes, written(last, "last"), shingle, percent)
     return linked.union(more)
 
 
+def _unconnected(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the buckets whose members do not all have one label."""
+    labelled = written(members.select("key", "node").join(labels, "node", "left").select(
+        "key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return written(labelled.join(written(mixed_keys.select("key"), "mixed"), "key"), "unconnected")
+
+
 def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents whose doc_id is the smallest of their group, with all their columns.
 
