@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import mutate as op
 from ..scale import scratch_dir
+from ..sources.catalogue import explode_locations, nest_locations
 from .registry import query
 
 STATE = ("run_number", "pos", "host", "status", "location", "checksum")
@@ -112,3 +113,25 @@ def m9(spark, sf):
     return op.backfill_checksum(rows, digests, "site0", "site1").select(*STATE)
 
 
+@query("m10_nest_locations", """
+, pushed AS (SELECT number, pos, host, status, location FROM nested_locations
+  UNION ALL SELECT number, 9, 'site9', 'transferring', '/new' FROM runs WHERE number % 5 = 0),
+first AS (SELECT number, min(pos) AS pos FROM pushed WHERE status = 'verifying' GROUP BY 1),
+changed AS (SELECT p.number, count(*) AS n, string_agg(concat(host, ':', CASE WHEN f.pos IS NOT NULL THEN 'transferred'
+    ELSE status END, ':', location), ';' ORDER BY p.pos) AS l
+  FROM pushed p LEFT JOIN first f ON f.number = p.number AND f.pos = p.pos WHERE host <> 'site1' GROUP BY 1)
+SELECT r.number, CASE WHEN r.number % 17 <> 0 OR r.number % 5 = 0 THEN coalesce(n, 0) END AS n_locations,
+  CASE WHEN r.number % 17 <> 0 OR r.number % 5 = 0 THEN coalesce(l, '') END AS locations
+FROM runs r LEFT JOIN changed c ON c.number = r.number""", "runs", "nested_locations")
+def m10(spark, sf):
+    runs = fx.nested_runs(spark, sf)
+    new = runs.filter(F.col("number") % 5 == 0).select(
+        F.col("number").alias("run_number"), F.lit(0).alias("ordinal"), F.lit("site9").alias("host"),
+        F.lit("transferring").alias("status"), F.lit("/new").alias("location"))
+    rows = op.push_locations(explode_locations(runs), new)
+    done = op.first_match(rows, F.col("status") == "verifying").withColumn("status", F.lit("transferred"))
+    rows = op.set_location(rows, done, ["status"]).filter(F.col("host") != "site1")
+    words = F.transform("data", lambda d: F.concat_ws(":", d["host"], d["status"], d["location"]))
+    return nest_locations(runs, rows).select(
+        "number", F.when(F.col("data").isNotNull(), F.size("data")).cast("long").alias("n_locations"),
+        F.array_join(words, ";").alias("locations"))

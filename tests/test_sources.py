@@ -98,3 +98,14 @@ def test_inventory(spark, tmp_path, rows):
     assert "content" not in found.columns
     assert rows(found.select(F.substring_index("dir", "/", -1).alias("d"), "name", "length")) == [("d", "f1", 5), ("e", "f2", 1)]
     assert files.file_inventory(spark, str(tmp_path), content=True).filter("name = 'f2'").first().content == b"1"
+
+
+def test_nesting_reverses_exploding(spark):
+    from runledger import fixtures as fx
+
+    runs = fx.nested_runs(spark, "/root/testdata/sf0.001").select("number", "data").filter("number < 200")
+    back = catalogue.nest_locations(runs, catalogue.explode_locations(runs))
+    assert sorted(back.collect()) == sorted(runs.collect())
+    emptied = catalogue.nest_locations(runs, catalogue.explode_locations(runs).limit(0))
+    assert emptied.filter("size(data) = 0").count() == runs.filter("data IS NOT NULL").count()
+    assert emptied.filter("data IS NULL").count() == runs.filter("data IS NULL").count() > 0
