@@ -15,7 +15,12 @@ def e1(spark, sf):
     return fingerprints.fingerprint(fx.files(spark, sf), "adler32").select("path", "fingerprint")
 
 
-@query("e2_crc32")
+@query("e2_crc32", """
+, steps AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT path, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM files)
+SELECT path, to_hex(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b),
+    lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])))::BIGINT) AS fingerprint FROM bytes, steps""", "files")
 def e2(spark, sf):
     return fingerprints.fingerprint(fx.files(spark, sf), "crc32").select("path", "fingerprint")
 
