@@ -217,34 +217,57 @@ def verify_upload(local: DataFrame, catalogue: DataFrame, rse: str, check: bool
 SALT = 64
 
 
+def rules_of_runs(runs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(number, rule_ids) per run number, with an empty list where no rule matches.
+
+    Runs are read once.  Their numbers and times look up tree pieces of the rules' ranges in one join; what a run finds
+    is combined map-side into one list, which is no longer than the rule table.  Rules that take all runs are a list
+    too and join it once per run, so pairs arise only when a caller explodes the lists.
+    """
+    numbers, windows = number_ranges(rules), _seconds(name_windows(rules))
+    ranges = numbers.select("rule_id", "lo", "hi", F.lit(0).alias("kind")).unionByName(
+        windows.withColumn("kind", F.lit(1)))
+    length = F.col("hi") - F.col("lo")
+    levels = [levels_for(n) for n in ranges.agg(
+        F.max(F.when(F.col("kind") == 0, length)), F.max(F.when(F.col("kind") == 1, length))).first()]
+
+    def kinds(nodes: Column, kind: int) -> Column:
+        return F.transform(nodes, lambda p: F.struct(F.lit(kind).alias("kind"), p.level.alias("level"), p.node.alias("node")))
+
+    pieces = F.when(F.col("kind") == 0, kinds(range_pieces(F.col("lo"), F.col("hi"), levels[0]), 0)).otherwise(
+        kinds(range_pieces(F.col("lo"), F.col("hi"), levels[1]), 1))
+    pieces = ranges.select("rule_id", F.explode(pieces).alias("_p")).select("rule_id", "_p.*")
+    nodes = F.concat(kinds(point_nodes(F.col("number"), levels[0]), 0), kinds(point_nodes(F.col("_t"), levels[1]), 1))
+    points = runs.select(F.col("number").cast("long").alias("number"),
+                         F.unix_seconds(run_time(F.col("name")).cast("timestamp")).alias("_t"))
+    looked_up = points.select("number", F.explode(nodes).alias("_p")).select("number", "_p.*").join(
+        broadcast_if_small(pieces), ["kind", "level", "node"], "left")
+    once = (F.col("kind") == 0) & (F.col("level") == 0)  # a row for each run, matched or not
+    found = looked_up.filter(F.col("rule_id").isNotNull() | once).groupBy("number").agg(
+        F.collect_set("rule_id").alias("_found"))
+
+    named = numbers.select("rule_id").distinct().withColumn("_named", F.lit(True))
+    every = rules.select("rule_id", "run_name").join(named, "rule_id", "left").filter(
+        F.col("_named").isNull() | (F.col("run_name") == "all"))
+    every = every.agg(F.collect_set("rule_id").alias("_every")).select(
+        "_every", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64("number"), F.lit(SALT)).cast("int")
+    return found.withColumn("_salt", salt).join(broadcast_if_small(every), "_salt").select(
+        "number", F.array_union("_found", "_every").alias("rule_ids"))
+
+
 def match_rules(runs: DataFrame, rules: DataFrame, excludes: bool = False, detector: bool = False,
                 source: bool = False) -> DataFrame:
     """(number, rule_id) pairs: number named or no number given, or name listed or in a window.
 
-    Every branch is an equi-join: numbers and windows as tree pieces; a rule that takes all
-    runs is spread over salts.  Exclusions, detector and source are off by default.
+    Exclusions, detector and source are off by default.
     """
+    found = rules_of_runs(runs, rules).select("number", F.explode("rule_ids").alias("rule_id"))
     base = runs.select("number", F.unix_seconds(run_time(F.col("name")).cast("timestamp")).alias("_t"),
                        *(["detector"] if detector else []), *([F.col("source.type").alias("source_type")] if source else []))
-    numbers = number_ranges(rules)
-    windows = name_windows(rules).select(
-        "rule_id", F.unix_seconds(F.col("from_time").cast("timestamp")).alias("lo"),
-        (F.unix_seconds(F.col("to_time").cast("timestamp")) + 1).alias("hi"))
-    parts = [_point_matches(base, "number", numbers), _point_matches(base, "_t", windows)]
-
-    named = numbers.select("rule_id").distinct()
-    every = rules.select("rule_id", "run_name").join(named.withColumn("_named", F.lit(True)), "rule_id", "left")
-    every = every.filter(F.col("_named").isNull() | (F.col("run_name") == "all"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
-    parts.append(base.withColumn("_salt", F.pmod(F.xxhash64("number"), F.lit(SALT)).cast("int"))
-                 .join(every.select("rule_id", salts.alias("_salt")), "_salt").select("number", "rule_id"))
-
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
     if excludes:
         gone = _point_matches(base, "number", number_ranges(rules, "run_nb_exclude"))
-        barred = name_windows(rules, "run_name_exclude").select(
-            "rule_id", F.unix_seconds(F.col("from_time").cast("timestamp")).alias("lo"),
-            (F.unix_seconds(F.col("to_time").cast("timestamp")) + 1).alias("hi"))
+        barred = _seconds(name_windows(rules, "run_name_exclude"))
         gone = gone.unionByName(_point_matches(base, "_t", barred))
         found = found.join(gone, ["number", "rule_id"], "left_anti")
     for flag, mine, theirs in ((detector, "detector", "detector_type"), (source, "source_type", "source_type")):
@@ -255,6 +278,12 @@ def match_rules(runs: DataFrame, rules: DataFrame, excludes: bool = False, detec
     return found
 
 
+def _seconds(windows: DataFrame) -> DataFrame:
+    """Windows as ranges [lo, hi) of seconds."""
+    return windows.select("rule_id", F.unix_seconds(F.col("from_time").cast("timestamp")).alias("lo"),
+                          (F.unix_seconds(F.col("to_time").cast("timestamp")) + 1).alias("hi"))
+
+
 def _point_matches(runs: DataFrame, point: str, ranges: DataFrame) -> DataFrame:
     """(number, rule_id) for every range [lo, hi) that holds ``point``."""
     levels = levels_for(ranges.agg(F.max(F.col("hi") - F.col("lo"))).first()[0])
