@@ -18,10 +18,37 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: A candidate of the method: a long word of key-like characters after a word of sensitive meaning on its line.
-SENSITIVE = re.compile(r"(?ai:\b(?:key|auth|authorization|bearer|credentials?|private|access|pwd|passphrase|signature|session|jwt)\b)")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-SENSITIVE_WORDS = (b"key", b"auth", b"bearer", b"credential", b"private", b"access", b"pwd", b"passphrase", b"signature", b"session", b"jwt")
+#: Words of sensitive meaning, and words that are written together with them.
+WORDS = ("key|oauth|auth|authorization|bearer|credential|private|access|pwd|passwd|password|passphrase|passcode|"
+         "secret|token|signature|session|jwt")
+BESIDE = "api|id|client|public|user|app|db|aws|ssh|my|refresh"
+
+
+def _sensitive() -> re.Pattern:
+    """The words as parts of identifiers: cut at what is no letter and in camel case; plurals and words run together count."""
+    def part(case, before, after):
+        words, beside = ("|".join(map(case, x.split("|"))) for x in (WORDS, BESIDE))
+        return f"{before}(?:{beside})*(?:{words})(?:{words}|{beside})*{case('s')}?{after}"
+
+    lower = part(str, "(?:(?<![A-Za-z])|(?<=[A-Z][A-Z]))", "(?![a-z])")
+    upper = part(str.upper, "(?<![A-Z])", "(?:(?![A-Za-z])|(?=[A-Z][a-z]))")
+    title = f"(?:{'|'.join(map(str.title, WORDS.split('|')))})(?:{WORDS}|{BESIDE})*s?(?![a-z])"
+    return re.compile(f"{lower}|{upper}|{title}")
+
+
+SENSITIVE = _sensitive()
+SENSITIVE_WORDS = tuple(w.encode() for w in ("key", "auth", "bearer", "credential", "private", "access", "pwd", "pass", "secret", "token",
+                                             "signature", "session", "jwt"))
+#: A candidate of the method: a long word of key-like characters on the line of a sensitive word, or so near to one.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+INNER_EQUALS = re.compile(r"=+(?=[^=])")
+LEAST = 16
+NEAR = 200
+#: A private key in PEM, and its body: lines of base64, also quoted or with escaped line ends.
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_SEP = r"""(?:\s|\\[nrt]|["',>|]|\+(?=\s))"""
+PEM_BODY = re.compile(rf"{_SEP}*([A-Za-z0-9+/]{{16,}}={{0,2}}(?:{_SEP}+[A-Za-z0-9+/]{{16,}}={{0,2}})*"
+                      rf"(?:{_SEP}+(?:[A-Za-z0-9+/]{{1,15}}={{0,2}}(?={_SEP}*(?:=|-----END))|[A-Za-z0-9+/]{{1,14}}={{1,2}}))?)")
 #: What code and settings are full of; a candidate made of it is not new.
 IDENTIFIERS = (
     "configuration environment_variable authentication authorization access_key secret_key private_key public_key "
@@ -67,25 +94,78 @@ class Novelty:
         return (self.size(primed, lead + candidate.encode()) - self.size(primed, lead)) / len(candidate)
 
 
+def sensitive_ranges(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The lines of the words and ``NEAR`` characters on both sides, which may cross lines; merged."""
+    ranges: list[tuple[int, int]] = []
+    line_end = -1
+    for start, end in words:
+        if start > line_end:  # another line than that of the word before
+            line_start = text.rfind("\n", 0, start) + 1
+            line_end = text.find("\n", end)
+            line_end = len(text) if line_end < 0 else line_end
+        a, b = max(0, min(line_start, start - NEAR)), max(line_end, end + NEAR)
+        if ranges and a <= ranges[-1][1]:
+            ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
+        else:
+            ranges.append((a, b))
+    return ranges
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Candidates (start, end) with the pieces that sensitive words and equals signs inside them leave."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    ranges = sensitive_ranges(text, words)
+    r = w = 0
+    for m in CANDIDATE.finditer(text) if ranges else ():
+        s, e = m.span()
+        while r < len(ranges) and ranges[r][1] <= s:
+            r += 1
+        if r == len(ranges):
+            return
+        if ranges[r][0] >= e:
+            continue
+        while w < len(words) and words[w][1] <= s:
+            w += 1
+        k = w
+        while k < len(words) and words[k][0] < e:
+            k += 1
+        cuts = sorted(words[w:k] + [(s + c.start(), s + c.end()) for c in INNER_EQUALS.finditer(m[0])])
+        pieces = zip([s, *(b for _, b in cuts)], [*(a for a, _ in cuts), e], strict=True)
+        yield s, e, [(a, b) for a, b in pieces if b - a >= LEAST] if cuts else []
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty, limit: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Candidates in sensitive lines, outside the fixed forms, whose marginal rate reaches the limit."""
+    """Candidates near sensitive words, outside the fixed forms, whose marginal rate reaches the limit."""
     raw = text.encode("utf-8", "surrogatepass").lower()
     if not any(w in raw for w in SENSITIVE_WORDS):
         return []
-    found, seen = [], -1
-    for word in SENSITIVE.finditer(text):
-        end = text.find("\n", word.end())
-        end = len(text) if end < 0 else end
-        start = max(word.end(), seen)
-        seen = max(seen, end)
-        for m in CANDIDATE.finditer(text, start, end):
-            s, e = m.span()
-            mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
-            if not mixed or any(a < e and s < b for _, a, b in taken):
-                continue
-            if novelty.rate(text[max(0, s - CONTEXT) : s], m[0], text[e : e + CONTEXT]) >= limit:
-                found.append(("novel", s, e))
-    return found
+    bounds = sorted((a, b) for _, a, b in taken)
+    found: list[tuple[int, int]] = []
+
+    def novel(s: int, e: int) -> bool:
+        word = text[s:e]
+        mixed = any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+        return mixed and novelty.rate(text[max(0, s - CONTEXT) : s], word, text[e : e + CONTEXT]) >= limit
+
+    for m in PEM.finditer(text):
+        body = PEM_BODY.search(text, m.end())
+        stop = text.find("-----END", m.end())
+        if body and body.start(1) < (stop if stop >= 0 else m.end() + NEAR) and novel(*body.span(1)):
+            found.append(body.span(1))
+    bounds = sorted(bounds + found)
+    furthest, at = 0, 0
+    for s, e, pieces in candidates(text):
+        while at < len(bounds) and bounds[at][0] < e:
+            furthest = max(furthest, bounds[at][1])
+            at += 1
+        if furthest > s:
+            continue
+        new = [p for p in pieces if novel(*p)]
+        if new:
+            found.append((new[0][0], new[-1][1]))
+        elif novel(s, e):
+            found.append((s, e))
+    return [("novel", s, e) for s, e in found]
 
 
 def spans_of(text: str | None, novelty: Novelty) -> list[tuple[str, int, int]]:
