@@ -86,7 +86,7 @@ class Novelty:
         dictionary = zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return len(zstandard.ZstdCompressor(level=9, dict_data=dictionary, write_content_size=False).compress(content))
 
-    def rate(self, before: str, candidate: str, after: str) -> float:
+    def rate(self, before: str, after: str, candidate: str) -> float:
         """Bytes per character that the candidate adds to what surrounds it."""
         around = (before + "\n" + after).encode("utf-8", "surrogatepass")
         primed = self.identifiers + b"\n" + around
@@ -134,6 +134,51 @@ def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
         yield s, e, [(a, b) for a, b in pieces if b - a >= LEAST] if cuts else []
 
 
+def surroundings(text: str, s: int, e: int) -> tuple[str, str]:
+    """``CONTEXT`` characters before and after a candidate, without its other occurrences, whole or cut by the edge."""
+    word, size = text[s:e], e - s
+
+    def without(lo: int, hi: int) -> str:
+        parts, at = [], lo
+        found = text.find(word, max(0, lo - size), hi + size)
+        while found >= 0:
+            if found + size > lo and found < hi:
+                parts.append(text[at : max(at, found)])
+                at = max(at, found + size)
+            found = text.find(word, found + 1, hi + size)
+        return "".join([*parts, text[at:hi]])
+
+    return without(max(0, s - CONTEXT), s), without(e, min(len(text), e + CONTEXT))
+
+
+def everywhere(text: str, found: list[tuple[int, int]], fixed: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans and every other occurrence of their strings that no fixed form and no wider span holds.
+
+    Strings are looked up by their first characters at each place of a long run of key-like ones, so that the time does
+    not grow with strings times length.
+    """
+    heads: dict[str, set[str]] = {}
+    for s, e in found:
+        heads.setdefault(text[s : s + LEAST], set()).add(text[s:e])
+    spans = set(found)
+    ordered = {h: sorted(w, key=len, reverse=True) for h, w in heads.items()}
+    for run in CANDIDATE.finditer(text) if found else ():
+        for i in range(run.start(), run.end() - LEAST + 1):
+            for word in ordered.get(text[i : i + LEAST], ()):
+                if text.startswith(word, i):
+                    spans.add((i, i + len(word)))
+                    break
+    out, furthest, at, reach = [], 0, 0, 0
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+        while at < len(fixed) and fixed[at][0] <= s:
+            reach = max(reach, fixed[at][1])
+            at += 1
+        if e > furthest and e > reach:
+            out.append((s, e))
+            furthest = e
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty, limit: float = NOVELTY) -> list[tuple[str, int, int]]:
     """Candidates near sensitive words, outside the fixed forms, whose marginal rate reaches the limit."""
     raw = text.encode("utf-8", "surrogatepass").lower()
@@ -142,10 +187,17 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty,
     bounds = sorted((a, b) for _, a, b in taken)
     found: list[tuple[int, int]] = []
 
+    known: set[str] = set()
+
     def novel(s: int, e: int) -> bool:
         word = text[s:e]
+        if word in known:
+            return True
         mixed = any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
-        return mixed and novelty.rate(text[max(0, s - CONTEXT) : s], word, text[e : e + CONTEXT]) >= limit
+        if mixed and novelty.rate(*surroundings(text, s, e), word) >= limit:
+            known.add(word)
+            return True
+        return False
 
     for m in PEM.finditer(text):
         body = PEM_BODY.search(text, m.end())
@@ -165,7 +217,8 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty,
             found.append((new[0][0], new[-1][1]))
         elif novel(s, e):
             found.append((s, e))
-    return [("novel", s, e) for s, e in found]
+    fixed = sorted((a, b) for _, a, b in taken)
+    return [("novel", s, e) for s, e in everywhere(text, found, fixed)]
 
 
 def spans_of(text: str | None, novelty: Novelty) -> list[tuple[str, int, int]]:

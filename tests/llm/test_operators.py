@@ -376,6 +376,18 @@ def test_sensitive_places(text, secret):
     assert found == ([secret] if secret else [])
 
 
+@pytest.mark.parametrize("text", [
+    f"key: {KEY}\nkey: {KEY}\n", f"curl -H 'Authorization: Bearer {KEY}'\n" * 2, f"access={KEY} {KEY} {KEY}",
+    f"auth_key = {KEY}\n{'word ' * 37}{KEY}", f"auth_key = {KEY}\n{'word ' * 300}\nurl/{KEY}/x\n",
+    *(f"-----BEGIN PRIVATE KEY-----\n{LINES[:129]}\n-----END PRIVATE KEY-----\n" * n for n in (1, 2)),
+])
+def test_repeated_secrets(text):
+    spans = secrets.spans_of(text, secrets.Novelty())
+    clean = secrets.redacted(text, spans, "*")
+    assert KEY not in clean and KEY[4:-4] not in clean and LINES[:64] not in clean
+    assert len(spans) == text.count(KEY) + text.count(LINES[:129])
+
+
 # web pages
 
 def test_extraction(spark):
