@@ -16,7 +16,7 @@ from runledger.scale import broadcast_if_small
 #: Comments, declarations, elements whose content is no markup, and tags.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|title|select|math|object|canvas|audio|video)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|title|canvas|audio|video)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -41,14 +41,26 @@ MARKS = frozenset(
     "toolbar comment comments discussion disqus respond replies reply cookie cookies consent gdpr notice notices alert "
     "notification newsletter subscribe subscription signup share sharing social related recommended recommendations "
     "popup modal overlay widget widgets pagination pager paywall outbrain taboola skip hidden".split())
+#: What stands beside an article and may be longer than it.
+BESIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors comment comments discussion disqus "
+    "respond replies reply cookie cookies consent gdpr newsletter".split())
+#: A name with one of these says something about the marked part, it is not that part.
+QUALIFIERS = frozenset("no not non without with has have hide show open opened closed enabled disabled overflow".split())
+#: Never removed for their names.
+FRAMES = frozenset("html body main article".split())
+#: Share of a page's text from which an element is kept, whatever its name.
+MOST, MOST_BESIDE = 0.5, 0.9
 LEVELS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "skip", "score", "article")
+    __slots__ = ("tag", "path", "parent", "skip", "mark", "size", "article")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, skip: bool):
-        self.tag, self.path, self.parent, self.skip, self.score = tag, path, parent, skip, 0.0
+    def __init__(self, tag: str, path: str, parent: Node | None, skip: bool, mark: float = 0.0):
+        self.tag, self.path, self.parent, self.skip = tag, path, parent, skip
+        #: Share of the page's text up to which the element's name removes it, and its text.
+        self.mark, self.size = mark, 0
         self.article = tag if tag in ("article", "main") else ""
 
 
@@ -67,8 +79,19 @@ def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if attributes.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog"):
         return True
-    words = {w.lower() for key in ("class", "id") for w in LEVELS.split(attributes.get(key, "")) if w}
-    return bool(words & MARKS)
+    return False
+
+
+def _mark(tag: str, attributes: dict[str, str]) -> float:
+    """Share of the page's text up to which the names remove an element; 0 if they do not."""
+    if tag in FRAMES:
+        return 0.0
+    mark = 0.0
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = {w.lower() for w in LEVELS.split(name) if w}
+        if words & MARKS and not words & QUALIFIERS:
+            mark = max(mark, MOST_BESIDE if words & BESIDE else MOST)
+    return mark
 
 
 def generalised(tag: str, attributes: dict[str, str]) -> str:
@@ -80,7 +103,7 @@ def generalised(tag: str, attributes: dict[str, str]) -> str:
 def blocks_of(page: str) -> list[tuple[Node, str, int]]:
     """Blocks in page order: the innermost open element, the text, and how much of it stands in links.
 
-    Elements outside the article have no blocks.  Unclosed and misplaced tags are taken as browsers take them: a block
+    Elements outside the article have no blocks; names mark such elements unless they hold most of the text.  Unclosed and misplaced tags are taken as browsers take them: a block
     ends an open paragraph, an end tag without a start is ignored.
     """
     root = Node("#", "", None, False)
@@ -128,6 +151,8 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                         flush()
         elif tag == "a":
             anchors += 1
+        elif tag in ("option", "optgroup"):
+            buffer.append(" ")
         elif tag in BLOCKS or tag == "head" or tag == "button":
             flush()
             if stack[-1].tag == "p":
@@ -148,14 +173,15 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                 attributes = _attributes(m[4])
                 parent = stack[-1]
                 stack.append(Node(tag, f"{parent.path}>{generalised(tag, attributes)}" if parent.path else generalised(tag, attributes),
-                                  parent, parent.skip or _unwanted(tag, attributes)))
+                                  parent, parent.skip or _unwanted(tag, attributes), _mark(tag, attributes)))
         elif tag not in VOID and m[4] and not m[4].endswith("/"):  # an inline element that may be an advert or hidden
             attributes = _attributes(m[4])
-            if _unwanted(tag, attributes):
+            hidden, mark = _unwanted(tag, attributes), _mark(tag, attributes)
+            if hidden or mark:
                 flush_to = stack[-1]
                 kept = list(buffer)
                 if not flush_to.skip:
-                    stack.append(Node(tag, f"{flush_to.path}>{tag}", flush_to, True))
+                    stack.append(Node(tag, f"{flush_to.path}>{tag}", flush_to, hidden, mark))
                     found_kept = " ".join(entities.unescape("".join(kept)).split())
                     buffer.clear()
                     if found_kept:
@@ -164,7 +190,27 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
     if at < len(page):
         buffer.append(page[at:])
     flush()
-    return found
+    return _without_marked(found)
+
+
+def _without_marked(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks outside elements that their names mark and that do not hold most of the page's text."""
+    total = 0
+    for node, text, _ in found:
+        total += len(text)
+        at: Node | None = node
+        while at is not None:
+            at.size += len(text)
+            at = at.parent
+
+    def removed(at: Node | None) -> bool:
+        while at is not None:
+            if at.mark and at.size <= at.mark * total:
+                return True
+            at = at.parent
+        return False
+
+    return [block for block in found if not removed(block[0])]
 
 
 def _holder(node: Node) -> Node:

@@ -405,3 +405,24 @@ def test_extraction(spark):
     assert got[0].path == "html>body>div.post-body" and got[9].path == "html>body>article"
     assert (got[10].text, got[11].text, got[12].text) == ("", "", "plain text only")
     assert html.extract_main_text(df.where("false")).count() == 0
+
+
+BODY_TEXT = "\n\n".join(f"Paragraph {i} of the article, with words enough to be one." for i in range(4))
+PARAGRAPHS = "".join(f"<p>{p}</p>" for p in BODY_TEXT.split("\n\n"))
+
+
+@pytest.mark.parametrize("page", [
+    "<html><body class='home no-sidebar comments-open'><div class=ad>Buy</div><div class=post>{}</div></body></html>",
+    "<html class='no-banner'><body class='sidebar widget'><div class='widget'>Buy</div><div class=post>{}</div></body></html>",
+    "<body><div class='content with-sidebar'>{}</div><div class=sidebar>Side</div></body>",
+    "<body><article class='post comments-open has-sidebar'>{}<div id=comments>Me too</div></article></body>",
+    "<body><main id=comments>{}</main></body>", "<body><div class='right-sidebar'><div class=a>{}</div></div><div class=ad>Buy</div></body>",
+    "<body><div class='overflow-hidden'>{}</div></body>",
+])
+def test_marked_frames(page):
+    assert html.extract(page.format(PARAGRAPHS), None)[0] == BODY_TEXT
+
+
+def test_nothing_else_dropped():
+    page = "<body><article><p>See <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.<p><object>An old film</object><p><select><option>One<option>Two</select></article></body>"
+    assert html.extract(page, None)[0] == "See x=2.\n\nAn old film\n\nOne Two"
