@@ -223,37 +223,102 @@ def _holder(node: Node) -> Node:
     return node
 
 
-def votes(page: str | None) -> list[tuple[str, float]]:
-    """The page's containers, as generalised paths with their shares of the page's score.
-
-    A block gives its length outside links to the element around it and half of that to the next; what stands in an
-    article or main element counts for that element.
+#: Parts of a list or table, which are no container of an article by themselves.
+INNER = frozenset("ul ol dl dir menu table tbody thead tfoot tr caption".split())
+#: Share of its pages' article text that a container must cover, and share of text directly in an element that takes it in.
+NEARLY_ALL, DIRECT, DIRECT_BODY = 0.9, 0.01, 0.05
+#: Paths with less of a page's votes say nothing about what surrounds them there.
+NOTABLE = 0.05
+
+
+def votes(page: str | None) -> list[tuple[str, str, float, float, float, float]]:
+    """The page's containers as generalised paths, each with what stands in it and around it.
+
+    Rows are (path, ancestor, share, pages, cover, direct).  A block gives its length outside links to the element around
+    it and half of that to the next; what stands in an article or main element counts for that element.  The row whose
+    ancestor is the path itself has its share of the page's votes; for paths with a notable share there is a row for each
+    ancestor up to the root, whose path is empty, with the shares of the page's unlinked text inside it and directly in
+    it, a first heading counting as much as is needed.
     """
     scores: dict[str, float] = {}
+    cover: dict[str, float] = {}
+    direct: dict[str, float] = {}
+    above: dict[str, list[str]] = {}
+    text_size = 0
     for node, text, linked in blocks_of(page or ""):
         weight = max(0, len(text) - 2 * linked)
         outer = node.parent if node.tag in ("p", "pre", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "td") else node
+        text_size += weight
+        at, inside = node, []
+        while at is not None:
+            inside.append(at)
+            at = at.parent
+        for path in {n.path for n in inside}:
+            cover[path] = cover.get(path, 0.0) + weight
+        if weight:
+            k = next(i for i, n in enumerate(inside) if n is outer)
+            while inside[k].tag in INNER and inside[k].parent is not None:
+                k += 1
+            path = inside[k].path
+            direct[path] = direct.get(path, 0.0) + (float("inf") if node.tag == "h1" else weight)
         for share in (1.0, 0.5):
             if outer is None or outer.parent is None:
                 break
             holder = _holder(outer)
             scores[holder.path] = scores.get(holder.path, 0.0) + share * weight
+            if holder.path not in above:
+                up, at = [], holder
+                while at is not None:
+                    up.append(at.path)
+                    at = at.parent
+                above[holder.path] = up
             if holder is not outer:
                 break
             outer = outer.parent
     total = sum(scores.values())
-    return sorted((p, s / total) for p, s in scores.items()) if total else []
+    if not total:
+        return []
+    best = max(scores.values())
+    rows = []
+    for path, score in sorted(scores.items()):
+        notable = score == best or score >= NOTABLE * total
+        for ancestor in dict.fromkeys(above[path]) if notable else [path]:
+            rows.append((path, ancestor, score / total if ancestor == path else 0.0, float(notable), cover[ancestor] / text_size,
+                         min(1.0, direct.get(ancestor, 0.0) / text_size)))
+    return rows
+
+
+def climbed(path: str, around: list[tuple[str, float, float, float]]) -> str:
+    """The container to take for a winning path, from (ancestor, pages, cover, direct) summed over the pages that have it.
+
+    It is the nearest element that is no part of a list or table and covers nearly all article text, or one further out
+    that has a heading or paragraphs of the article directly in it.  An article or main element is taken as it is.
+    """
+    tag = path.rpartition(">")[2].partition(".")[0]
+    if tag in ("article", "main") or not around:
+        return path
+    up = sorted(around, key=lambda x: -len(x[0]))  # an ancestor's path is a beginning of the path
+    chosen = None
+    for i, (ancestor, pages, cover, direct) in enumerate(up):
+        tag = ancestor.rpartition(">")[2].partition(".")[0]
+        if chosen is None and tag not in INNER and cover >= NEARLY_ALL * pages:
+            chosen = i
+        elif chosen is not None and direct >= (DIRECT_BODY if tag in ("body", "html", "") else DIRECT) * pages:
+            chosen = i
+    return "" if chosen is None else up[chosen][0]
 
 
 def extract(page: str | None, path: str | None) -> tuple[str, str | None]:
-    """Text of the elements on ``path``, or on the page's own best path if it has none there; and the path taken."""
+    """Text of the elements on ``path``, or in the page's own best container if it has none there; and the path taken."""
     blocks = blocks_of(page or "")
     if not blocks:
         return "", None
-    inside = [t for node, t, _ in blocks if _within(node, path)] if path else []
+    inside = [t for node, t, _ in blocks if _within(node, path)] if path is not None else []
     if not inside:
         own = votes(page)
-        path = max(own, key=lambda v: (v[1], v[0]))[0] if own else None
+        path = max(((p, s) for p, a, s, *_ in own if a == p), key=lambda v: (v[1], v[0]))[0] if own else None
+        if path is not None:
+            path = climbed(path, [(a, *rest) for p, a, _, *rest in own if p == path])
         inside = [t for node, t, _ in blocks if path is None or _within(node, path)]
     return "\n\n".join(inside), path
 
@@ -266,11 +331,21 @@ def _within(node: Node | None, path: str | None) -> bool:
     return False
 
 
+_VOTE = ["host", "path", "ancestor", "share", "pages", "cover", "direct"]
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(host, path, share) for host, page in columns(batch, "host", "html") for path, share in votes(page)]
+        rows = [(host, *vote) for host, page in columns(batch, "host", "html") for vote in votes(page)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["host", "path", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], _VOTE)
+
+
+def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths = [climbed(path, [(a["ancestor"], a["pages"], a["cover"], a["direct"]) for a in around])
+                 for path, around in columns(batch, "path", "around")]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +360,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, path (of the container taken).
 
     First pass: each page's containers are scored and their generalised tag-and-class paths voted on per host; votes are
-    summed before they are shuffled.  Second pass: each page is read again with its host's winning path (ties: the
-    first in order).  The winners are broadcast if measured to be small, else joined by host.
+    summed before they are shuffled.  From the winning path (ties: the first in order) the nearest ancestor is taken that
+    covers nearly all unlinked article text of the host's pages with that path.  Second pass: each page is read again
+    with its host's container.  The containers are broadcast if measured to be small, else joined by host.
 
     Null and empty html have an empty text; a null url is a host of its own.  Pages without the winning path use their
     own best.  Rows without a page_id, and rows that repeat one, are extracted each.  Empty tables are fine; further
@@ -294,9 +370,13 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    summed = rows.select("host", "html").mapInArrow(_vote, "host string, path string, share double").groupBy(
-        "host", "path").agg(F.round(F.sum("share"), 6).alias("share"))
-    winners = written(summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("share"), "path")).alias("path")), "paths")
+    summed = written(rows.select("host", "html").mapInArrow(
+        _vote, "host string, path string, ancestor string, share double, pages double, cover double, direct double").groupBy(
+        "host", "path", "ancestor").agg(*(F.round(F.sum(c), 6).alias(c) for c in ("share", "pages", "cover", "direct"))), "votes")
+    best = summed.where("path = ancestor").groupBy("host").agg(F.min_by("path", F.struct(-F.col("share"), "path")).alias("path"))
+    around = summed.join(broadcast_if_small(written(best, "best")), ["host", "path"]).groupBy("host", "path").agg(
+        F.collect_list(F.when(F.col("pages") > 0, F.struct("ancestor", "pages", "cover", "direct"))).alias("around"))
+    winners = written(around.select("host", "path", "around").mapInArrow(_climb, "host string, path string"), "paths")
     kinds = dict(pages.dtypes)
     return rows.join(broadcast_if_small(winners), "host", "left").select("page_id", "url", "html", "path").mapInArrow(
         _extract, f"page_id {kinds['page_id']}, url string, text string, path string")

@@ -426,3 +426,28 @@ def test_marked_frames(page):
 def test_nothing_else_dropped():
     page = "<body><article><p>See <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.<p><object>An old film</object><p><select><option>One<option>Two</select></article></body>"
     assert html.extract(page, None)[0] == "See x=2.\n\nAn old film\n\nOne Two"
+
+
+SENTENCE = "A sentence of the article, with words enough to be one of its own. "
+TITLED = "<h1>Head line</h1><p>An intro to it.</p>"
+LONG_PART = f"<p>{SENTENCE * 5}</p>" * 3
+
+
+@pytest.mark.parametrize("article", [
+    f"<div class=content>{TITLED}" + f"<section>{LONG_PART}</section>" * 4 + "</div>",
+    f"<div class=content><h1>Head line</h1><div class=wrap>" + f"<section>{LONG_PART}</section>" * 4 + "</div></div>",
+    f"<div class=content><div class=intro>{TITLED}</div><div class=body>{LONG_PART}</div><div class=end><p>{SENTENCE * 6}</p></div></div>",
+    f"<div class=content><p>{SENTENCE}</p><ul>" + f"<li>{SENTENCE * 4}</li>" * 9 + f"</ul><p>{SENTENCE}</p></div>",
+    f"<div class=content>{TITLED}<table><tbody>" + f"<tr><td>{SENTENCE * 3}</td><td>{SENTENCE * 2}</td></tr>" * 9 + f"</tbody></table><p>{SENTENCE}</p></div>",
+    f"<div class=content>{TITLED}{LONG_PART}</div>",
+])
+def test_whole_article(spark, article):
+    """Everything of the article and nothing beside it, by the host's votes and on a page of its own."""
+    beside = "<div class=extra><p>Elsewhere <a href=x>on this very site of ours</a></p></div><div class=note><p>All rights kept.</p></div>"
+    page = f"<html><body><nav>Home</nav>{article}{beside}</body></html>"
+    parts = [" ".join(x.split()) for x in re.split(r"<[^>]*>", article) if x.strip()]
+    assert html.extract(page, None)[0].split("\n\n") == parts
+    pages = [(i, "https://a.example/x", page) for i in range(3)] + [
+        (i, "https://a.example/x", f"<html><body><div class=other>{PARAGRAPHS}</div></body></html>") for i in (3, 4)]
+    got = html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert [r.text.split("\n\n") for r in sorted(got)] == [parts] * 3 + [BODY_TEXT.split("\n\n")] * 2
