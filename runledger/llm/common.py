@@ -35,6 +35,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows stored with a key each, in a column whose name is new; and the name."""
+    key = "_row"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
 def words_of(text: Column, pattern: str = SPACES_PATTERN) -> Column:
     """Array of the words between matches of ``pattern``; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), pattern), "")

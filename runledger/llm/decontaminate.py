@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import words_of, written
+from runledger.llm.common import with_row_keys, words_of, written
 from runledger.scale import broadcast_if_small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,7 +43,7 @@ def benchmark_windows(items: DataFrame, window: int = 10) -> DataFrame:
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10,
-                       block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+                       block_windows: int = BLOCK_WINDOWS, key: str | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, spans, n_hit, items.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased.  ``spans`` are the sorted [start, end)
@@ -53,7 +53,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10,
     Null and empty texts have no words, hence no hits, in documents and items alike.  Rows are judged one by one, also
     such as repeat a doc_id or have none.  An item without an id marks words but is not listed.  Empty tables are fine;
     further columns are ignored.  The set of windows is broadcast in blocks of at most ``block_windows``, so its size is
-    bounded whatever the benchmark holds; each block reads the documents once.
+    bounded whatever the benchmark holds; each block reads the documents once.  ``key`` names a column of stored row keys
+    (longs), which then comes last in the result.
     """
     owned = written(benchmark_windows(items, window), "windows")
     distinct = owned.select("length", "words").distinct().withColumn("wid", F.xxhash64(F.lit(1), "words"))
@@ -63,7 +64,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10,
     keyed = distinct.withColumn("key", reduce(
         lambda other, n: F.when(F.col("length") == n, _key(F.col("words"), F.lit(0), n)).otherwise(other),
         lengths, F.lit(None).cast("long")))
-    hits = [_scan(docs, keyed.where(F.pmod("wid", F.lit(blocks)) == b) if blocks > 1 else keyed, lengths, b == 0)
+    hits = [_scan(docs.withColumn("rid", F.col(key) if key else F.monotonically_increasing_id()), keyed.where(F.pmod("wid", F.lit(blocks)) == b) if blocks > 1 else keyed, lengths, b == 0)
             for b in range(blocks)]
     by_row = written(
         reduce(DataFrame.unionByName, hits).groupBy("rid").agg(
@@ -79,7 +80,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10,
         F.array_sort(F.collect_set("item_id")).alias("items"))
     return spans.join(listed, "rid", "left").select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), "spans", _covered(F.col("spans")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), *([F.col("rid").alias(key)] if key else []))
 
 
 def _scan(docs: DataFrame, windows: DataFrame, lengths: list[int], first: bool) -> DataFrame:
@@ -99,7 +100,7 @@ def _scan(docs: DataFrame, windows: DataFrame, lengths: list[int], first: bool)
         offsets = F.when(F.col("w.length") == length, before).otherwise(offsets)
         before = before + F.greatest(F.col("n_words") - length + 1, F.lit(0))
     keys.append(F.array(own))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", normal_words(F.col("text")).alias("words"))
+    rows = docs.select("rid", "doc_id", normal_words(F.col("text")).alias("words"))
     keyed = rows.withColumns({"keys": F.concat(*keys), "n_words": n})
     points = keyed.select("rid", "doc_id", "words", "n_words", F.posexplode("keys").alias("pos", "key")).alias("d")
     spark = docs.sparkSession
@@ -128,10 +129,11 @@ def _covered(spans: Column) -> Column:
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns.
 
-    Rows that share a doc_id, or have none, go together if one of them is contaminated.
+    Each row goes or stays for its own text, also if it shares a doc_id or has none.
     """
-    found = find_contamination(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    rows, key = with_row_keys(docs)
+    found = written(find_contamination(rows, items, window, key=key).where("n_hit > 0").select(key), "contaminated")
+    return rows.join(broadcast_if_small(found), key, "left_anti").select(*docs.columns)
 
 
 REPORT_SQL = r"""

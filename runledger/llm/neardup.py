@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import MIX_A, MIX_B, WordHashes, columns, lists, mixed, signed, window_hashes, written
+from runledger.llm.common import MIX_A, MIX_B, WordHashes, columns, lists, mixed, signed, window_hashes, with_row_keys, written
 from runledger.scale import broadcast_if_small
 
 
@@ -243,9 +243,13 @@ def _unconnected(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group, with all their columns.
+    """One row of each group, with all its columns: that with the smallest doc_id, rows without one last, ties by row key.
 
-    Of rows that repeat a kept doc_id all stay; rows without an id stay.
+    Rows are grouped by their own texts, also if they share a doc_id or have none; rows without words stay.
     """
-    gone = near_duplicates(docs, shingle, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, key = with_row_keys(docs)
+    groups = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), shingle, percent)
+    groups = groups.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.col(key).alias("row"))
+    kept = written(groups.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias(key)), "kept")
+    return rows.join(kept, key, "left_semi").select(*docs.columns)

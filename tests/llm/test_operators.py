@@ -208,6 +208,22 @@ def test_contamination(spark, awkward, empty):
     assert kept.columns == awkward.columns and kept.where("doc_id = 8").count() == 0
 
 
+def test_stages_judge_rows(spark):
+    """Rows without an id, with a shared one and copies of rows are judged one by one."""
+    item = "ten words of a test item that nobody may see now"
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    docs = [(None, one), (None, f"x {item}"), (None, two), (1, one), (1, f"y {item}"), (2, two + " end"), (5, "alone in this set"), (6, None)]
+    df = spark.createDataFrame([(d, t, n) for n, (d, t) in enumerate(docs)], "doc_id long, text string, _row int").repartition(3)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r._row for r in decontaminate.without_contaminated(df, bench).collect()) == [0, 2, 3, 5, 6, 7]
+    docs = [(None, one), (3, one), (3, one), (4, one + " end"), (None, two), (None, two), (4, "unique words of a row that shares its id"),
+            (2, "one more unique text"), (None, ""), (None, None), (7, "")]
+    df = spark.createDataFrame([(d, t, n) for n, (d, t) in enumerate(docs)], "doc_id long, text string, _row int").repartition(3)
+    kept = sorted(r._row for r in neardup.one_of_each_group(df).collect())
+    assert len(set(kept) & {1, 2}) == len(set(kept) & {4, 5}) == 1
+    assert [r for r in kept if r not in (1, 2, 4, 5)] == [6, 7, 8, 9, 10]
+
+
 # tokens, packing, storage
 
 def test_encoder(spark, awkward, tokenizer):
