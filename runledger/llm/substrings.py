@@ -64,23 +64,23 @@ def _profile(rule: Repeats):
                 seeds.append(signed(np.unique(anchors(HASHES.array(words), rule))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                 lists(seeds, pa.int64())], ["doc_id", "n_words", "digest", "anchors"])
+                 batch.column("raw"), lists(seeds, pa.int64())], ["doc_id", "n_words", "digest", "raw", "anchors"])
 
     return run
 
 
 def _windows(rule: Repeats):
-    """(doc_id, digest, start, window) of the windows whose anchor is one of the document's shared seeds."""
+    """(doc_id, raw, start, window) of the windows whose anchor is one of the document's shared seeds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, seeds in columns(batch, "doc_id", "text", "seeds"):
+            for doc_id, text, raw, seeds in columns(batch, "doc_id", "text", "raw", "seeds"):
                 hashes = HASHES.array(words_in(text))
                 at = np.flatnonzero(np.isin(signed(anchors(hashes, rule)), np.array(seeds, np.int64)))
                 found = signed(window_hashes(hashes, rule.words)[at])
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), doc_id, np.int64)), pa.array(at.astype(np.int32)), pa.array(found)],
-                        ["doc_id", "start", "window"])
+                        [pa.array(np.full(len(at), doc_id, np.int64)), pa.array([raw] * len(at), pa.binary()), pa.array(at.astype(np.int32)),
+                         pa.array(found)], ["doc_id", "raw", "start", "window"])
 
     return run
 
@@ -131,30 +131,32 @@ def repeated_passages(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     to smaller ids.  Empty tables are fine; further columns are ignored.  Windows are compared by 64-bit hashes, whole
     texts by their SHA-256.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = written(docs.mapInArrow(_profile(rule), "doc_id long, n_words long, digest binary, anchors array<long>"), "profiles")
+    # texts that share a doc_id are told apart by the digest of their bytes
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("raw"))
+    profiles = written(docs.mapInArrow(
+        _profile(rule), "doc_id long, n_words long, digest binary, raw binary, anchors array<long>"), "profiles")
     named = profiles.where("doc_id IS NOT NULL")
     firsts = written(named.where(F.col("n_words") >= rule.words).groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "firsts")
 
     # copies of whole texts are settled by their digest; one of each class goes on
-    ones = named.join(firsts, "digest").where("doc_id = first_id").select("doc_id", "digest", "anchors")
-    seeds = ones.select("doc_id", F.explode("anchors").alias("anchor"))
+    ones = named.join(firsts, "digest").where("doc_id = first_id").select("doc_id", "raw", "anchors")
+    seeds = ones.select("doc_id", "raw", F.explode("anchors").alias("anchor"))
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    owners = seeds.join(written(shared.select("anchor"), "anchors"), "anchor").groupBy("doc_id").agg(
+    owners = seeds.join(written(shared.select("anchor"), "anchors"), "anchor").groupBy("doc_id", "raw").agg(
         F.collect_set("anchor").alias("seeds"))
     owners = written(owners, "seeds")
 
-    texts = docs.join(broadcast_if_small(owners), "doc_id")
-    windows = written(texts.mapInArrow(_windows(rule), "doc_id long, start int, window long"), "windows")
+    texts = docs.join(broadcast_if_small(owners), ["doc_id", "raw"])
+    windows = written(texts.mapInArrow(_windows(rule), "doc_id long, raw binary, start int, window long"), "windows")
     sources = windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("hi")).where("source < hi")
     repeats = windows.join(written(sources.select("window", "source"), "sources"), "window").where("source < doc_id")
-    starts = written(repeats.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "starts")
+    starts = written(repeats.groupBy("doc_id", "raw").agg(F.collect_set("start").alias("starts")), "starts")
 
-    cut = docs.join(broadcast_if_small(starts), "doc_id").mapInArrow(
+    cut = docs.join(broadcast_if_small(starts), ["doc_id", "raw"]).mapInArrow(
         _cut(rule), f"doc_id long, digest binary, spans {SPANS}, n_removed long, kept_text string")
     cut = written(cut.dropDuplicates(["doc_id", "digest"]), "cut").withColumnRenamed("doc_id", "cut_id")
-    rows = profiles.drop("anchors").join(firsts.where("copies > 1").select("digest", "first_id"), "digest", "left")
+    rows = profiles.drop("anchors", "raw").join(firsts.where("copies > 1").select("digest", "first_id"), "digest", "left")
     whole = F.col("doc_id") > F.col("first_id")
     rows = rows.join(cut.withColumnRenamed("digest", "cut_digest"), (F.col("doc_id") == F.col("cut_id")) & (F.col("digest") == F.col("cut_digest")), "left")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))

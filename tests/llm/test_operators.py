@@ -171,6 +171,17 @@ def test_repeated_passages(spark, awkward, empty):
     assert substrings.repeated_passages(awkward).count() == awkward.count()
 
 
+def test_repeated_passages_shared_id(spark):
+    """Rows with one doc_id and different long texts lose only their own repeated words."""
+    first, own = ([f"{c}{i}" for i in range(120)] for c in "fo")
+    docs = [(1, " ".join(first)), (7, " ".join(own[:20] + first[:60] + own[20:])), (7, " ".join(own + [f"z{i}" for i in range(80)])),
+            (7, " ".join(own[::-1] + first[10:70])), (8, " ".join(own[:60]))]
+    found = substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"))
+    digest = F.when(F.col("kept_text").isNull(), F.lower(F.hex("digest"))).otherwise(F.sha2("kept_text", 256))
+    got = found.select("doc_id", "n_words", "n_removed", digest).collect()
+    assert sorted(map(tuple, got), key=repr) == cut_by_hand(docs)
+
+
 # decontamination
 
 def hits_by_hand(text, items):
