@@ -64,7 +64,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10,
     keyed = distinct.withColumn("key", reduce(
         lambda other, n: F.when(F.col("length") == n, _key(F.col("words"), F.lit(0), n)).otherwise(other),
         lengths, F.lit(None).cast("long")))
-    hits = [_scan(docs.withColumn("rid", F.col(key) if key else F.monotonically_increasing_id()), keyed.where(F.pmod("wid", F.lit(blocks)) == b) if blocks > 1 else keyed, lengths, b == 0)
+    rows = docs.withColumn("rid", F.col(key) if key else F.monotonically_increasing_id())
+    hits = [_scan(rows, keyed.where(F.pmod("wid", F.lit(blocks)) == b) if blocks > 1 else keyed, lengths, b == 0)
             for b in range(blocks)]
     by_row = written(
         reduce(DataFrame.unionByName, hits).groupBy("rid").agg(
@@ -102,7 +103,8 @@ def _scan(docs: DataFrame, windows: DataFrame, lengths: list[int], first: bool)
     keys.append(F.array(own))
     rows = docs.select("rid", "doc_id", normal_words(F.col("text")).alias("words"))
     keyed = rows.withColumns({"keys": F.concat(*keys), "n_words": n})
-    points = keyed.select("rid", "doc_id", "words", "n_words", F.posexplode("keys").alias("pos", "key")).alias("d")
+    # the outer form: the plain one adds a filter on the size of ``keys`` below, which splits the text again per key
+    points = keyed.select("rid", "doc_id", "words", "n_words", F.posexplode_outer("keys").alias("pos", "key")).alias("d")
     spark = docs.sparkSession
     small = windows.select("key", "length", F.col("words").alias("gram"), "wid")
     if first:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -219,6 +220,16 @@ def test_contamination(spark, awkward, empty):
     assert kept.columns == awkward.columns and kept.where("doc_id = 8").count() == 0
 
 
+def test_contamination_time_of_long_text(spark):
+    """A text of 20,000 words takes seconds: it is split once, not once a window position."""
+    bench = spark.createDataFrame([(1, "ten words of a test item that nobody may see"), (2, "short one"), (3, "single")], "item_id long, text string")
+    text = " ".join(f"w{i}" for i in range(20_000)) + " ten words of a test item that nobody may see"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.monotonic()
+    assert [(r.n_words, r.n_hit) for r in decontaminate.find_contamination(docs, bench).collect()] == [(20_010, 10)]
+    assert time.monotonic() - begin < 60
+
+
 def test_stages_judge_rows(spark):
     """Rows without an id, with a shared one and copies of rows are judged one by one."""
     item = "ten words of a test item that nobody may see now"
