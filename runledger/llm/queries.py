@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontaminate, html, neardup, packing, quality, secrets, simple8b, substrings, token_counts, warc
-from runledger.llm.common import table
+from runledger.llm import (decontaminate, divergence, html, neardup, packing, periodic, pieces, quality, secrets, simple8b,
+                           substrings, token_counts, warc)
+from runledger.llm.common import table, words_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_OF_TEXT = 50256
 
 
@@ -72,9 +74,51 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), where a tenth of the documents, by the checksum of their id, repeat some of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = F.floor((n - a) / (3 + g % 8)).cast("int") + 1
+        part = F.slice(w, a + 1, p)
+        times = F.ceil((n - a) / p).cast("int")
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(F.flatten(F.array_repeat(part, times)), F.lit(1), n - a)), " ")
+
+    words = words_of(F.col("text"))  # bound by a lambda, so that they are computed once
+    planted = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                                                 (-r["period"]).alias("period"))))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"),
+                        F.sha2(F.replace(F.array_join(listed, ""), F.lit(",\n"), F.lit("\n")), 256).alias("runs_sha256"),
+                        F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return rows.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+                       F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    return read.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_html_extraction, op3_warc, op4_near_duplicates, op5_packing, op6_token_counts,
-    op7_secret_scans, op8_simple8b, op9_decontamination, op10_substring_dedup)}
+    op7_secret_scans, op8_simple8b, op9_decontamination, op10_substring_dedup,
+    op11_source_divergence, op12_periodic_runs, op13_sentencepiece)}
 
 WARC_SQL = """
 WITH rec AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d,
@@ -114,4 +158,5 @@ FROM doc LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 ORACLES = {
     "op1_quality_rules": quality.BASE_SQL, "op3_warc": WARC_SQL, "op4_near_duplicates": NEAR_SQL,
     "op9_decontamination": decontaminate.REPORT_SQL, "op10_substring_dedup": SUBSTRING_SQL,
+    "op11_source_divergence": divergence.DIVERGENCE_SQL,
 }
