@@ -6,22 +6,28 @@ is changed row by row; ``explode_locations`` gives this form.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ERROR, TRANSFERRED, VERIFYING
+from ..journal import create_entry, entry_names, read_entry, read_table, table_entry
 
 KEY = ("run_number", "pos")
 
 
-def push_locations(replicas: DataFrame, new: DataFrame) -> DataFrame:
-    """Append locations to runs; ``new.ordinal`` orders the additions of one run."""
+def placed_locations(replicas: DataFrame, new: DataFrame) -> DataFrame:
+    """New locations with their ``pos`` after the last of their run; ``new.ordinal`` orders the additions of one run."""
     last = replicas.groupBy("run_number").agg(F.max("pos").alias("_last"))
-    placed = new.join(last, "run_number", "left").withColumn(
+    return new.join(last, "run_number", "left").withColumn(
         "pos", F.coalesce("_last", F.lit(-1)) + 1 + F.col("ordinal")).drop("_last", "ordinal")
-    return replicas.unionByName(placed, allowMissingColumns=True)
+
+
+def push_locations(replicas: DataFrame, new: DataFrame) -> DataFrame:
+    """Append locations to runs; ``new.ordinal`` orders the additions of one run."""
+    return replicas.unionByName(placed_locations(replicas, new), allowMissingColumns=True)
 
 
 def first_match(replicas: DataFrame, where: Column) -> DataFrame:
@@ -40,6 +46,15 @@ def set_location(replicas: DataFrame, updates: DataFrame, fields: Sequence[str])
 
 def pull_locations(replicas: DataFrame, keys: DataFrame) -> DataFrame:
     """Drop every location equal to a key in all of the key's columns (nulls are equal)."""
+    return _keyed(replicas, keys, "left_anti")
+
+
+def pulled_locations(replicas: DataFrame, keys: DataFrame) -> DataFrame:
+    """The locations that ``pull_locations`` drops."""
+    return _keyed(replicas, keys, "left_semi")
+
+
+def _keyed(replicas: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     keys = keys.distinct()
     names = keys.columns
     keys = keys.select(*[F.col(c).alias(f"_k_{c}") for c in names])
@@ -47,7 +62,7 @@ def pull_locations(replicas: DataFrame, keys: DataFrame) -> DataFrame:
     for c in names:
         mine, theirs = F.col(c), F.col(f"_k_{c}")
         same = same & (mine == theirs if c == "run_number" else mine.eqNullSafe(theirs))
-    return replicas.join(keys, same, "left_anti")
+    return replicas.join(keys, same, how)
 
 
 def rename_location(replicas: DataFrame, host: str, moves: DataFrame) -> DataFrame:
@@ -60,12 +75,31 @@ def rename_location(replicas: DataFrame, host: str, moves: DataFrame) -> DataFra
 
 def remove_location(replicas: DataFrame, host: str, paths: DataFrame, status: str | None = None) -> DataFrame:
     """Drop the first location with a listed path at the host, per run and path."""
+    return replicas.join(first_at(replicas, host, paths, status), list(KEY), "left_anti")
+
+
+def first_at(replicas: DataFrame, host: str, paths: DataFrame, status: str | None = None) -> DataFrame:
+    """Key of the first location with a listed path at the host, per run and path."""
     rows = replicas.filter(F.col("host") == host)
     if status is not None:
         rows = rows.filter(F.col("status") == status)
     first = rows.join(paths.select("location").distinct(), "location").groupBy("run_number", "location").agg(
         F.min("pos").alias("pos"))
-    return replicas.join(first.select(*KEY), list(KEY), "left_anti")
+    return first.select(*KEY)
+
+
+def set_run_column(runs: DataFrame, values: DataFrame, column: str, version_name: str) -> DataFrame:
+    """Write ``values.value`` into a column of the runs, also nulls, and ``values.version`` as its correction version."""
+    new = values.select("number", F.struct(F.col("value").alias("value"), F.col("version").alias("version")).alias("_new"))
+    out = runs.join(new, "number", "left")
+    old = F.coalesce("correction_versions", F.create_map().cast("map<string,string>"))
+    versions = F.map_concat(F.map_filter(old, lambda k, _: k != version_name),
+                            F.create_map(F.lit(version_name), F.col("_new.version")))
+    hit = F.col("_new").isNotNull()
+    before = F.col(column) if column in runs.columns else F.lit(None)
+    out = out.withColumns({column: F.when(hit, F.col("_new.value")).otherwise(before),
+                           "correction_versions": F.when(hit, versions).otherwise(F.col("correction_versions"))})
+    return out.select(*runs.columns, *([] if column in runs.columns else [column]))
 
 
 def set_run_field(runs: DataFrame, values: DataFrame, param: str, version_name: str) -> DataFrame:
@@ -85,28 +119,43 @@ def set_run_field(runs: DataFrame, values: DataFrame, param: str, version_name:
     return out.select(*runs.columns)
 
 
-def write_version(df: DataFrame, path: str, dry_run: bool = False) -> int:
-    """Write a new version directory, then the entry that makes it current; returns the version.
+class Conflict(RuntimeError):
+    """Somebody else committed first."""
+
+
+def write_version(df: DataFrame, path: str, dry_run: bool = False, expected: int | None = None) -> int:
+    """Write a whole new version, then the entry that makes it current; returns the version.
 
-    A job that dies half-way leaves the old version current.  ``dry_run`` writes nothing.
+    The data lie in a folder of their own, and a version's entry is created at most once, so no writer ever replaces
+    another's rows, and a job that dies half-way leaves the old version current.  Writers at the same time get versions
+    one after the other.  With ``expected``, the version that ``df`` was derived from, a writer that is late raises
+    ``Conflict`` instead and writes nothing current.  ``dry_run`` writes nothing.
     """
-    version = (current_version(df.sparkSession, path) or 0) + 1
-    if not dry_run:
-        df.write.mode("overwrite").parquet(f"{path}/v{version:06d}")
-        df.sparkSession.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(
-            f"{path}/_versions")
+    spark = df.sparkSession
+    version = (current_version(spark, path) or 0) + 1
+    if expected is not None and version != expected + 1:
+        raise Conflict(f"version {expected} is not the newest")
+    if dry_run:
+        return version
+    data = f"{path}/data/{uuid.uuid4().hex}"
+    df.write.parquet(data)
+    while not create_entry(spark, f"{path}/versions", f"{version:012d}", table_entry(df, data)):
+        if expected is not None:
+            raise Conflict(f"version {expected} is not the newest")
+        version += 1
     return version
 
 
 def current_version(spark: SparkSession, path: str) -> int | None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.schema("version long").parquet(f"{path}/_versions").agg(F.max("version")).first()[0]
+    names = entry_names(spark, f"{path}/versions")
+    return int(names[-1]) if names else None
 
 
 def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{version or current_version(spark, path):06d}")
+    version = version or current_version(spark, path)
+    if version is None:
+        raise ValueError(f"no version at {path}")
+    return read_table(spark, read_entry(spark, f"{path}/versions", f"{version:012d}"))
 
 
 def add_checksum(replicas: DataFrame, digests: DataFrame, host: str, aliases: Sequence[str] = (),

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..operators import changes
 from ..operators import mutate as op
 from ..scale import scratch_dir
 from ..sources.catalogue import explode_locations, nest_locations
@@ -92,6 +93,78 @@ def m7(spark, sf):
     return op.read_version(spark, path).select(*STATE)
 
 
+# M1, M2, M3 and M5 in turn; ``s0`` has the rows before.
+CHANGES_SQL = """
+, s1 AS (SELECT run_number, pos, host, status, location, checksum, size_bytes FROM {base}
+  UNION ALL SELECT r.number, coalesce(m.pos, -1) + 1 + o.ordinal, 'site4', 'transferring', '/new/' || CAST(r.number AS VARCHAR), NULL, NULL
+  FROM runs r CROSS JOIN (VALUES (0), (1)) o(ordinal)
+  LEFT JOIN (SELECT run_number, max(pos) AS pos FROM {base} GROUP BY 1) m ON m.run_number = r.number WHERE r.number % 4 = 0),
+s2 AS (SELECT s.run_number, s.pos, host, CASE WHEN f.pos IS NOT NULL THEN 'transferred' ELSE status END AS status, location,
+    CASE WHEN f.pos IS NOT NULL THEN 'sum' || CAST(s.run_number AS VARCHAR) ELSE checksum END AS checksum, size_bytes
+  FROM s1 s LEFT JOIN (SELECT run_number, min(pos) AS pos FROM s1 WHERE status = 'verifying' GROUP BY 1) f
+    ON f.run_number = s.run_number AND f.pos = s.pos),
+s3 AS (SELECT * FROM s2 r WHERE NOT EXISTS (SELECT 1 FROM s2 k WHERE k.size_bytes % 10 = 3 AND k.run_number = r.run_number
+    AND k.host = r.host AND k.status = r.status AND k.checksum IS NOT DISTINCT FROM r.checksum)),
+s4 AS (SELECT * FROM s3 WHERE NOT (host = 'site1' AND status = 'transferred' AND size_bytes % 3 = 0))
+"""
+
+
+def _added(spark, sf):
+    return fx.runs(spark, sf).filter(F.col("number") % 4 == 0).select(
+        F.col("number").alias("run_number"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal"),
+        F.lit("site4").alias("host"), F.lit("raw").alias("type"), F.lit("transferring").alias("status"),
+        F.concat(F.lit("/new/"), F.col("number").cast("string")).alias("location"))
+
+
+def _verified(table):
+    return op.first_match(table, F.col("status") == "verifying").select(
+        "*", F.lit("transferred").alias("status"),
+        F.concat(F.lit("sum"), F.col("run_number").cast("string")).alias("checksum"))
+
+
+def _changes(spark, sf):
+    """The changes of ``CHANGES_SQL``."""
+    return [
+        changes.push(_added(spark, sf)),
+        changes.set_fields(_verified, ["status", "checksum"]),
+        changes.pull(lambda t: t.filter(F.col("size_bytes") % 10 == 3).select("run_number", "host", "status", "checksum")),
+        changes.remove("site1", lambda t: t.filter(F.col("size_bytes") % 3 == 0).select("location"), "transferred"),
+    ]
+
+
+@query("m11_change_log", CHANGES_SQL.format(base="replicas") + """
+SELECT run_number, pos, host, status, location, checksum FROM s4""", "replicas", "runs")
+def m11(spark, sf):
+    log = changes.ChangeLog(spark, scratch_dir(spark, "change-log"))
+    log.create(base(spark, sf))
+    for number, change in enumerate(_changes(spark, sf)):
+        log.commit(change)
+        if number == 1:
+            log.compact()
+    return log.read().select(*STATE)
+
+
+@query("m12_interleaved_writers", """
+, s0 AS (SELECT * FROM replicas WHERE NOT (host = 'site3' AND status = 'error'))
+""" + CHANGES_SQL.format(base="s0") + """
+SELECT run_number, pos, host, status, location, checksum FROM s2""", "replicas", "runs")
+def m12(spark, sf):
+    """Another site drops its failed copies after this one has read the table, and this one starts again."""
+    log = changes.ChangeLog(spark, scratch_dir(spark, "two-writers"))
+    log.create(base(spark, sf))
+    pushing, verifying, *_ = _changes(spark, sf)
+    met = []
+
+    def late(table):
+        if not met:
+            met.append(log.commit(lambda t: changes.drop(t.filter("host = 'site3' AND status = 'error'").select("run_number", "pos"))))
+        return pushing(table)
+
+    log.commit(late)
+    log.commit(verifying)
+    return log.read().select(*STATE)
+
+
 @query("m8_add_checksum", """
 SELECT run_number, pos, host,
   CASE WHEN todo THEN CASE WHEN size_bytes % 2 = 0 THEN 'transferred' ELSE 'error' END ELSE status END AS status, location,
