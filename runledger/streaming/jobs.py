@@ -5,12 +5,17 @@ The aggregations are ordinary DataFrame functions: each works on a batch and on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..journal import create_entry, entry_names, read_entry, read_table, table_entry
+from ..operators.mutate import Conflict
 from ..scale import scratch_dir
 
 ONCE = {"availableNow": True}
@@ -34,6 +39,39 @@ def new_runs(runs: DataFrame, since: Column | None = None) -> DataFrame:
     return runs if since is None else runs.filter(F.col("start") > since)
 
 
+@dataclass(frozen=True)
+class Scan:
+    """One pass of the daemon: its number, whether it was a full one, from when it looked, and the runs that it found."""
+
+    number: int
+    full: bool
+    since: datetime | None
+    runs: DataFrame
+
+
+def scan(runs: DataFrame, folder: str, now: datetime, period: timedelta = timedelta(days=1)) -> Scan:
+    """One pass over the catalogue: all runs if the last full pass is a ``period`` ago or more, else those begun since it.
+
+    The runs are stored under ``folder`` first; then one entry commits them together with the mark, the time of the last
+    full pass.  A pass that dies before that leaves the old mark, so the next one looks at the same runs again.  Of two
+    passes at once one commits and the other one raises ``Conflict``.
+    """
+    spark = runs.sparkSession
+    marks = f"{folder}/marks"
+    done = entry_names(spark, marks)
+    last = read_entry(spark, marks, done[-1])["full_at"] if done else None
+    full_at = datetime.fromisoformat(last) if last else None
+    full = full_at is None or now - full_at >= period
+    found = new_runs(runs, None if full else F.lit(full_at).cast(runs.schema["start"].dataType))
+    path = f"{folder}/runs/{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    number = len(done) + 1
+    entry = {"full": full, "full_at": (now if full else full_at).isoformat(), "at": now.isoformat(), "runs": table_entry(found, path)}
+    if not create_entry(spark, marks, f"{number:012d}", entry):
+        raise Conflict("another pass was committed first")
+    return Scan(number, full, None if full else full_at, read_table(spark, entry["runs"]))
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Append a stream to Parquet, exactly once."""
     return (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)

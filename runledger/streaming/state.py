@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -99,14 +98,13 @@ class _BucketProcessor(StatefulProcessor):
         self.handle = handle
         self.events = handle.getListState("events", "ms long, event_id long, status string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = [tuple(e) for e in self.events.get()]
-        if self.closes and not events:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = [tuple(e) for e in self.events.get()]
+        if self.closes and not held:
             self.handle.registerTimer((int(key[1]) + 1) * self.bucket_ms)
-        for part in rows:
-            events += zip(part["ms"].tolist(), part["event_id"].tolist(), part["status"].tolist())
-        events.sort(key=lambda e: e[:2])
-        self.events.put(events)
+        new = sorted((r.ms, r.event_id, r.status) for r in rows)
+        self.events.appendList(new)
+        events = sorted([*held, *new], key=lambda e: e[:2])
         pairs = [p for p in zip(events, events[1:]) if self.of_interest(*p)]
         row = {"replica_id": key[0], "bucket": key[1], "seen": len(events)}
         for side, (ms, event_id, status) in (("first", events[0]), ("last", events[-1])):
@@ -114,9 +112,9 @@ class _BucketProcessor(StatefulProcessor):
         for n, side in enumerate(("before", "after")):
             row |= {f"{side}_event_id": [p[n][1] for p in pairs], f"{side}_ms": [p[n][0] for p in pairs],
                     f"{side}_status": [p[n][2] for p in pairs]}
-        yield pd.DataFrame([row])
+        yield Row(**row)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.events.clear()
         return iter(())
 
@@ -135,7 +133,7 @@ def _summaries(events: DataFrame, of_interest: Callable, bucket_seconds: int, re
         rows = rows.withWatermark("ts", retention)
     keyed = rows.select("replica_id", F.floor(F.unix_millis("ts") / (bucket_seconds * 1000)).alias("bucket"), "event_id",
                         "ts", F.unix_millis("ts").alias("ms"), "status")
-    return keyed.groupBy("replica_id", "bucket").transformWithStateInPandas(
+    return keyed.groupBy("replica_id", "bucket").transformWithState(
         _BucketProcessor(of_interest, bucket_seconds * 1000, retention is not None), SUMMARY_SCHEMA, "Append",
         "None" if retention is None else "EventTime")
 
@@ -151,6 +149,75 @@ def transition_summaries(events: DataFrame, bucket_seconds: int = STREAM_BUCKET_
     return _summaries(events, _may_be_illegal, bucket_seconds, retention)
 
 
+Pending = tuple[int, int, str, int]  # ms, event_id, status, levels decided
+ALARM_SCHEMA = "replica_id long, event_id long, since_ms long, status string, level string"
+
+
+class _TimerProcessor(StatefulProcessor):
+    """Events of one replica for as long as an alarm about them, or about the one before, is open.
+
+    An unfinished event has a timer for each level; a newer event within its time cancels the timer.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "ms long, event_id long, status string, decided int")
+
+    def _idle(self, events: list[Pending], i: int) -> float:
+        """Time from an event to the next one; without end if there is none yet."""
+        return events[i + 1][0] - events[i][0] if i + 1 < len(events) else float("inf")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = [tuple(e) for e in self.events.get()]
+        known = {e[:2] for e in held}
+        new = {(r.ms, r.event_id, r.status, 0) for r in rows if (r.ms, r.event_id) not in known}
+        events = sorted([*held, *new])
+        self.events.put(events)
+        set_before = {e[0] + limit + 1 for i, e in enumerate(held) for n, (_, limit) in enumerate(LEVELS)
+                      if e[2] not in FINISHED and e[3] <= n and self._idle(held, i) > limit}
+        due = {e[0] + limit + 1 for i, e in enumerate(events) for n, (_, limit) in enumerate(LEVELS)
+               if e[2] not in FINISHED and e[3] <= n and self._idle(events, i) > limit}
+        freed = {e[-1][0] + LEVELS[-1][1] + 1 for e in (held, events) if e}  # when the last event can go
+        for at in set_before - due - freed:
+            self.handle.deleteTimer(at)
+        for at in (due | freed) - set_before:
+            self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        events = [tuple(e) for e in self.events.get()]
+        alarms, left = [], []
+        for i, (ms, event_id, status, decided) in enumerate(events):
+            while decided < len(LEVELS) and ms + LEVELS[decided][1] < now:
+                level, limit = LEVELS[decided]
+                if status not in FINISHED and self._idle(events, i) > limit:
+                    alarms.append(Row(replica_id=key[0], event_id=event_id, since_ms=ms, status=status, level=level))
+                decided += 1
+            if decided < len(LEVELS):
+                left.append((ms, event_id, status, decided))
+        if left:
+            self.events.put(left)
+        else:
+            self.events.clear()
+        return iter(alarms)
+
+    def close(self) -> None:
+        pass
+
+
+def timed_alarms(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Stream of stall alarms, raised by timers as soon as event time has passed 2 h or 24 h without another event.
+
+    Event time is the newest event's less ``delay``.  Events that lag behind by less may come in any order and cancel
+    alarms that are not due yet; later ones are dropped, as are rows without a time.  State holds a replica's events of
+    the last 24 h of event time.  Needs a state store with column families (RocksDB).
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).filter(F.col("ts").isNotNull()).withWatermark("ts", delay)
+    keyed = rows.select("replica_id", "event_id", "ts", F.unix_millis("ts").alias("ms"), "status")
+    return keyed.groupBy("replica_id").transformWithState(_TimerProcessor(), ALARM_SCHEMA, "Append", "EventTime")
+
+
 def _neighbours(summaries: DataFrame) -> DataFrame:
     """(replica_id, before, after) of interest inside buckets and all across them; the last event has no ``after``."""
     key = ("replica_id", "bucket")

@@ -1,5 +1,7 @@
 """Streaming jobs over the event table, with their batch results as oracle; hooks and passes."""
 
+from datetime import datetime
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -52,6 +54,32 @@ def t1(spark, sf):
     return spark.read.schema("number long, start timestamp_ntz").parquet(out)
 
 
+# Three passes of a day and a night: a full one, one for what is new, and the next day's full one.
+PASSES = (datetime(1998, 5, 13, 6), datetime(1998, 5, 14, 2), datetime(1998, 5, 14, 8))
+
+
+def _passes(spark, sf):
+    """The catalogue at each time holds the runs begun until then."""
+    folder = scratch_dir(spark, "scans")
+    runs = fx.runs(spark, sf).select("number", "start")
+    return [jobs.scan(runs.filter(F.col("start") <= fx.ntz(str(at))), folder, at) for at in PASSES]
+
+
+@query("t1_full_pass", f"""
+SELECT 3 AS pass, number, start_ts AS start FROM runs WHERE start_ts <= TIMESTAMP '{PASSES[2]}'""", "runs")
+def t1_full(spark, sf):
+    last = _passes(spark, sf)[-1]
+    return last.runs.filter(F.lit(last.full)).select(F.lit(last.number).alias("pass"), "number", "start")
+
+
+@query("t1_incremental_pass", f"""
+SELECT 2 AS pass, number, start_ts AS start FROM runs
+WHERE start_ts > TIMESTAMP '{PASSES[0]}' AND start_ts <= TIMESTAMP '{PASSES[1]}'""", "runs")
+def t1_incremental(spark, sf):
+    second = _passes(spark, sf)[1]
+    return second.runs.filter(F.lit(not second.full)).select(F.lit(second.number).alias("pass"), "number", "start")
+
+
 @query("t2_current_state", """
 SELECT replica_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts, count(*) AS n_events
 FROM status_events GROUP BY 1""", "status_events")
@@ -86,6 +114,33 @@ def t3s(spark, sf):
     return state.stalled(spark.read.schema(state.SUMMARY_SCHEMA).parquet(out), _newest(spark, sf))
 
 
+# Files of three days each, in which events stand up to half a day late.
+CHUNK_MS, JITTER_MS, DELAY_MS = 3 * 86_400_000, 43_200_000, 86_400_000
+
+
+def _late_status_stream(spark, sf):
+    path = scratch_dir(spark, "late")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    chunk = F.floor((ms + F.pmod(F.xxhash64("event_id"), F.lit(JITTER_MS))) / CHUNK_MS)
+    events = fx.status_events(spark, sf).withColumn("chunk", chunk)
+    for (number,) in sorted(events.select("chunk").distinct().collect()):  # a month of files, the oldest written first
+        events.filter(F.col("chunk") == number).drop("chunk").coalesce(1).write.mode("append").parquet(path)
+    return jobs.new_files(spark, path, STATUS, max_files=1)
+
+
+@query("t3_timer_alarms", f"""
+SELECT replica_id, event_id, since_ms, status, level FROM (
+  SELECT *, lead(since_ms) OVER (PARTITION BY replica_id ORDER BY since_ms, event_id) - since_ms AS idle,
+    max(since_ms) OVER () - {DELAY_MS} AS now_ms
+  FROM (SELECT replica_id, event_id, status, epoch_us(ts) // 1000 AS since_ms FROM status_events) e) x
+CROSS JOIN (VALUES ('alert', 7200000), ('purge', 86400000)) v(level, after)
+WHERE status NOT IN ('transferred', 'verifying') AND (idle IS NULL OR idle > after) AND since_ms + after < now_ms""", "status_events")
+def t3_timers(spark, sf):
+    _stateful(spark)
+    out = jobs.drain(state.timed_alarms(_late_status_stream(spark, sf), "1 day"), jobs.append_to, "alarms")
+    return spark.read.schema(state.ALARM_SCHEMA).parquet(out)
+
+
 TRANSITION_SQL = """
 SELECT replica_id, event_id, prev_status, status FROM (
   SELECT *, lag(status) OVER (PARTITION BY replica_id ORDER BY ts, event_id) AS prev_status FROM status_events) x

@@ -81,6 +81,91 @@ def test_late_event_between_two_takes_an_alarm_back(spark, tmp_path, rows):
     assert got == [(2, "error")]
 
 
+def alarms_by_hand(events, delay_minutes):
+    """Alarms about whatever waited long enough before the newest event less the delay."""
+    out = []
+    now = max(e[1] for e in events) - dt.timedelta(minutes=delay_minutes)
+    for _, at, replica, status in events:
+        event_id = next(e[0] for e in events if e[1:] == (at, replica, status))
+        later = sorted((e[1], e[0]) for e in events if e[2] == replica and (e[1], e[0]) > (at, event_id))
+        for level, hours in (("alert", 2), ("purge", 24)):
+            due = at + dt.timedelta(hours=hours)
+            if status not in ("transferred", "verifying") and due < now and (not later or later[0][0] > due):
+                out.append((replica, event_id, level))
+    return sorted(set(out), key=repr)
+
+
+def drained(spark, source, max_files, delay, base):
+    query = jobs.append_to(state.timed_alarms(jobs.new_files(spark, source, SCHEMA, max_files=max_files), delay),
+                           str(base / "out"), str(base / "checkpoint"))
+    query.awaitTermination()
+    held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    return spark.read.schema(state.ALARM_SCHEMA).parquet(str(base / "out")), held
+
+
+@pytest.mark.parametrize("max_files", [1, 2, None])
+def test_timers_do_not_depend_on_batches(spark, source, rows, tmp_path, max_files):
+    got, _ = drained(spark, source, max_files, "30 minutes", tmp_path)
+    expected = alarms_by_hand(EVENTS, 30)
+    assert rows(got, "replica_id", "event_id", "level") == expected
+    assert (2, 12, "alert") in expected and (2, 5, "purge") in expected and not [r for r in expected if r[0] in (1, 6)]
+
+
+def test_a_late_event_cancels_an_alarm_that_is_not_due(spark, rows, tmp_path):
+    path = str(tmp_path / "events")
+    files = [[event(1, 0, 1, "transferring"), event(2, 0, 2, "transferring")], [event(3, 180, 9, "verifying")],
+             [event(4, 60, 1, "verifying")], [event(4, 60, 1, "verifying"), event(5, 3000, 9, "verifying")]]
+    for part in files:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    got, held = drained(spark, path, 1, "2 hours", tmp_path)
+    assert rows(got, "replica_id", "event_id", "level") == [(2, 2, "alert"), (2, 2, "purge")]
+    assert held <= 4  # of the replica with the newest event alone: its list, and its timer
+
+
+def test_an_alarm_comes_when_time_passes_without_events(spark, rows, tmp_path):
+    """No event of the replica follows: the timer alone raises the alarm, once per level, and not before its time."""
+    path = str(tmp_path / "events")
+    spark.createDataFrame([event(1, 0, 1, "transferring")], SCHEMA).coalesce(1).write.parquet(path)
+    for minutes, expected in ((100, []), (120, []), (121, [(1, "alert")]), (700, [(1, "alert")]), (1500, [(1, "alert"), (1, "purge")])):
+        spark.createDataFrame([event(minutes, minutes, 2, "verifying")], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        got, _ = drained(spark, path, 1, "0 seconds", tmp_path)
+        assert rows(got, "event_id", "level") == expected
+
+
+def test_three_days_of_passes(spark, rows, tmp_path):
+    """The second pass finds what is new since the full one, the third one everything again."""
+    runs = spark.createDataFrame([(n, T0 + dt.timedelta(hours=20 * n)) for n in range(4)], "number long, start timestamp_ntz")
+    folder, day = str(tmp_path / "scans"), dt.timedelta(days=1)
+
+    def at(hours):
+        now = T0 + dt.timedelta(hours=hours)
+        return jobs.scan(runs.filter(F.col("start") <= F.lit(now)), folder, now, day)
+
+    first, second, third, fourth = at(10), at(33), at(34), at(50)
+    assert [s.full for s in (first, second, third, fourth)] == [True, False, True, False]
+    assert [rows(s.runs, "number") for s in (first, second, third, fourth)] == [[(0,)], [(1,)], [(0,), (1,)], [(2,)]]
+    assert second.since == T0 + dt.timedelta(hours=10) and fourth.since == T0 + dt.timedelta(hours=34)
+
+
+def test_a_pass_that_dies_leaves_the_mark(spark, rows, tmp_path, monkeypatch):
+    runs = spark.createDataFrame([(1, T0)], "number long, start timestamp_ntz")
+    folder = str(tmp_path / "scans")
+
+    def dies(*args):
+        raise RuntimeError
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "create_entry", dies)
+        with pytest.raises(RuntimeError):
+            jobs.scan(runs, folder, T0)
+    again = jobs.scan(runs, folder, T0 + dt.timedelta(minutes=1))
+    assert (again.number, again.full, rows(again.runs, "number")) == (1, True, [(1,)])
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "entry_names", lambda *a: [])
+        with pytest.raises(jobs.Conflict):
+            jobs.scan(runs, folder, T0)
+
+
 def test_retention_frees_old_buckets_and_keeps_their_results(spark, source, rows):
     kept = summaries(spark, source, state.transition_summaries, 1, bucket_seconds=3600, retention="10 minutes")
     assert rows(state.illegal(kept)) == [(5, 10, "transferred", "verifying")]
