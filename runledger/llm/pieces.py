@@ -23,9 +23,9 @@ SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ "
 NO_RANK = np.iinfo(np.int32).max
 #: Segments whose ids a worker keeps, and the longest that it keeps.
-KEPT_SEGMENTS, KEPT_CHARS = 800_000, 64
-#: Characters that are merged together; it bounds a task's memory beside the text itself.
-ROUND_CHARS = 1 << 20
+KEPT_SEGMENTS, KEPT_CHARS = 300_000, 64
+#: Characters that are merged together, and texts that are cut together; they bound a task's memory beside a text itself.
+ROUND_CHARS, TEXTS = 1 << 17, 64
 #: Rounds, counted in symbols looked at over symbols given, after which what is left goes through a queue.  Words never
 #: need so many; long rows of merges that depend on each other do, such as a million equal signs.
 ROUNDS = 24
@@ -38,8 +38,8 @@ def _one_per_byte(error: UnicodeDecodeError) -> tuple[str, int]:
 codecs.register_error("one-per-byte", _one_per_byte)
 
 
-class Vocabulary:
-    """Symbols, pair ranks and byte ids of a model; symbol numbers are ids, then one number for all unknown characters."""
+class Pieces:
+    """What the ids of a model stand for."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,16 +48,25 @@ class Vocabulary:
             raise ValueError("only models that keep texts as they are, with a space in front, can be used")
         n = model.get_piece_size()
         self.begin, self.end, self.unknown = model.bos_id(), model.eos_id(), model.unk_id()
-        pieces = [model.id_to_piece(i) for i in range(n)]
-        byte = {int(pieces[i][1:-1], 16): i for i in range(n) if model.is_byte(i)}
-        self.byte_ids = np.array([byte[b] for b in range(256)], "<u4")
-        self.byte_of = {i: b for b, i in byte.items()}
-        special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
-        ids = {pieces[i]: i for i in range(n) if i not in special}
-        self.plain = [None if i in special else pieces[i].replace(SPACE, " ").encode() for i in range(n)]
+        names = [model.id_to_piece(i) for i in range(n)]
+        self.byte_of = {i: int(names[i][1:-1], 16) for i in range(n) if model.is_byte(i)}
         self.control = {i for i in range(n) if model.is_control(i)}
-        self._ranks(ids, {p: model.get_score(i) for p, i in ids.items()}, n)
+        special = {i for i in range(n) if i in self.control or i in self.byte_of or model.is_unknown(i) or model.is_unused(i)}
+        self.scored = {names[i]: (i, model.get_score(i)) for i in range(n) if i not in special}
+        self.plain = [None if i in special else names[i].replace(SPACE, " ").encode() for i in range(n)]
+
+
+class Vocabulary(Pieces):
+    """Symbols, pair ranks and byte ids of a model; symbol numbers are ids, then one number for all unknown characters."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        ids = {piece: i for piece, (i, _) in self.scored.items()}
+        byte = {b: i for i, b in self.byte_of.items()}
+        self.byte_ids = np.array([byte[b] for b in range(256)], "<u4")
+        self._ranks(ids, {piece: score for piece, (_, score) in self.scored.items()}, len(self.plain))
         self._cuts(ids)
+        del self.scored
 
     def _ranks(self, ids: dict[str, int], score: dict[str, float], n: int) -> None:
         """Every split of a piece into two others is a pair; its rank is the place of the piece's score, the best first."""
@@ -106,6 +115,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@cache
+def meanings(path: str) -> Pieces:
+    """What decoding needs, without the tables of merges."""
+    return Pieces(path)
+
+
 def merge_rounds(chars: np.ndarray, ends: np.ndarray, v: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of segments that lie one after the other in ``chars`` (code points; ``ends`` where each segment ends).
 
@@ -284,7 +299,7 @@ def _steps(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def text_of(ids: bytes, v: Vocabulary) -> str:
+def text_of(ids: bytes, v: Pieces) -> str:
     numbers = np.frombuffer(ids, "<u4").tolist()
     out: list[bytes] = []
     bare = True  # nothing but control ids so far: the space in front is still to come
@@ -312,8 +327,8 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
                 found = own.ids(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "ids"])
 
@@ -334,10 +349,12 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = meanings(path)
         for batch in batches:
-            texts = [None if ids is None else text_of(ids, v) for (ids,) in columns(batch, "ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
+                texts = [None if ids is None else text_of(ids, v) for (ids,) in columns(part, "ids")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
 
     return run
 
