@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PROCESSED, RAW, REUPLOAD, TRANSFERRED, UNTRIGGERED
@@ -12,6 +12,7 @@ from ..scale import (broadcast_if_small, is_small, levels_for, node_of, point_no
 from ..sources.catalogue import name_windows, number_ranges
 
 Masters = Sequence[tuple[str, str, bool]]  # (type, host, compared per version?)
+SECOND = 1_000_000  # microseconds
 LOCATION_FIELDS = ("pos", "host", "type", "version", "status", "location", "checksum")
 
 
@@ -118,28 +119,54 @@ def range_lookup(runs: DataFrame, ranges: DataFrame, number: str = "number", out
 
 
 def interval_sums(intervals: DataFrame, readings: DataFrame, key: str, sensor: str | None = None) -> DataFrame:
-    """Count and sum of readings in [start, end] per interval, by canonical time pieces.
+    """Count and sum of readings in [start, end] per interval, as differences of running totals.
 
-    Readings are summed into tree nodes before any join; an interval reads a bounded number
-    of nodes, so dense times never multiply readings by intervals.
+    Readings are summed by time first.  Totals run inside a second, over the seconds of a day and over days, so no task
+    sorts more than the times of a second, however dense they are, and dense times never multiply readings by intervals.
+    An interval looks its two ends up and nothing between them.  Differences are taken inside a day, and of days only
+    where an interval spans more than two, so that they do not lose digits to the length of the history.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    bounds = intervals.agg(F.max(micros("end") - micros("start")), F.min("start").cast("string"),
-                           F.max("end").cast("string")).first()
-    if bounds[0] is None:
+    bounds = intervals.agg(F.min("start").cast("string"), F.max("end").cast("string")).first()
+    if bounds[0] is None or bounds[1] is None:
         return intervals.select(key).limit(0).selectExpr(key, "0L AS n", "0D AS total")
-    levels = levels_for(bounds[0] + 1)
     kind = readings.schema["ts"].dataType
-    rows = readings.filter(F.col("ts").between(F.lit(bounds[1]).cast(kind), F.lit(bounds[2]).cast(kind)))
+    rows = readings.filter(F.col("ts").between(*(F.lit(x).cast(kind) for x in bounds)))
     if sensor is not None:
         rows = rows.filter(F.col("sensor") == sensor)
-    points = rows.select(micros("ts").alias("_t"), "value").groupBy("_t").agg(
+    points = rows.select(micros("ts").alias("t"), "value").groupBy("t").agg(
         F.count("value").alias("n"), F.sum("value").alias("total"))
-    nodes = points.select("n", "total", F.explode(point_nodes(F.col("_t"), levels)).alias("_p")).groupBy(
-        "_p.level", "_p.node").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    pieces = intervals.select(key, F.explode(range_pieces(micros("start"), micros("end") + 1, levels)).alias("_p"))
-    return pieces.select(key, "_p.*").join(nodes, ["level", "node"]).groupBy(key).agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"))
+    ends = F.array(F.struct((micros("start") - 1).alias("t"), F.lit(False).alias("is_end")),
+                   F.struct(micros("end").alias("t"), F.lit(True).alias("is_end")))
+    asked = intervals.filter(F.col("start") <= F.col("end")).select(F.col(key).alias("key"), F.explode(ends).alias("_e")).select(
+        "_e.t", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), "key", "_e.is_end")
+    both = points.unionByName(asked, allowMissingColumns=True).withColumns({
+        "second": F.floor(F.col("t") / SECOND), "day": F.floor(F.col("t") / (86_400 * SECOND))})
+
+    def running(partition: list[str], order: list[str], last: int) -> dict[str, Column]:
+        window = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        return {f"{c}_before": F.coalesce(F.sum(c).over(window), F.lit(0)) for c in ("n", "total")}
+
+    at = both.withColumns(running(["second"], ["t", F.col("is_end").isNotNull()], 0)).filter(F.col("is_end").isNotNull()).select(
+        "key", "is_end", "second", "day", "n_before", "total_before")
+    seconds = both.groupBy("day", "second").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    in_day = seconds.withColumns(running(["day"], ["second"], -1)).select(
+        "second", F.col("n_before").alias("n_day"), F.col("total_before").alias("total_day"))
+    days = seconds.groupBy("day").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    days = days.withColumns(running([], ["day"], -1)).withColumnsRenamed({"n": "n_whole", "total": "total_whole"}).select(
+        "day", "n_whole", "total_whole", F.col("n_before").alias("n_days"), F.col("total_before").alias("total_days"))  # a row a day
+    looked = at.join(in_day, "second").select(
+        "key", "is_end", "day", *((F.col(f"{c}_before") + F.col(f"{c}_day")).alias(c) for c in ("n", "total"))).join(
+        broadcast_if_small(days), "day")
+    found = F.struct("day", "n", "total", "n_whole", "total_whole", "n_days", "total_days")
+    pairs = looked.groupBy("key").agg(F.max(F.when(~F.col("is_end"), found)).alias("a"), F.max(F.when(F.col("is_end"), found)).alias("b"))
+
+    def between(c: str) -> Column:
+        a, b = F.col("a"), F.col("b")
+        whole = b[f"{c}_days"] - (a[f"{c}_days"] + a[f"{c}_whole"])
+        return F.when(a["day"] == b["day"], b[c] - a[c]).otherwise((a[f"{c}_whole"] - a[c]) + whole + b[c])
+
+    return pairs.select(F.col("key").alias(key), between("n").alias("n"), between("total").alias("total")).filter("n > 0")
 
 
 def interval_mean(runs: DataFrame, readings: DataFrame, sensor: str, key: str = "number") -> DataFrame:
