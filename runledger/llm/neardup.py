@@ -138,9 +138,9 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     wanted = written(classes.select("node", "rep", "h1", "h2").join(nodes, "node"), "wanted")
     texts = docs.join(broadcast_if_small(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = texts.mapInArrow(_shingles(size), "h1 long, h2 long, shingles array<long>").join(
-        wanted.select("node", "h1", "h2"), ["h1", "h2"])
+        broadcast_if_small(wanted.select("node", "h1", "h2")), ["h1", "h2"])
     sets = written(sets.select("node", "shingles"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(
+    both = broadcast_if_small(pairs).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
