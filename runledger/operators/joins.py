@@ -124,7 +124,7 @@ def interval_sums(intervals: DataFrame, readings: DataFrame, key: str, sensor: s
     Readings are summed by time first.  Totals run inside a second, over the seconds of a day and over days, so no task
     sorts more than the times of a second, however dense they are, and dense times never multiply readings by intervals.
     An interval looks its two ends up and nothing between them.  Differences are taken inside a day, and of days only
-    where an interval spans more than two, so that they do not lose digits to the length of the history.
+    where an interval spans more than two, so that their error is that of a day's total, however long the history is.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     bounds = intervals.agg(F.min("start").cast("string"), F.max("end").cast("string")).first()

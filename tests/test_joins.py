@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -97,6 +98,31 @@ def test_interval_mean_bounds_are_closed(spark, rows):
     assert rows(joins.interval_mean(runs, readings, "v"), "number", "mean_value") == [(1, 1.5), (2, None), (3, None)]
 
 
+def test_interval_mean_against_all_readings(spark, rows):
+    """Intervals inside a second, over days, back to back and turned round; dense seconds, equal times, missing values."""
+    draw = random.Random(8)
+    zero = dt.datetime(2016, 12, 30, 23, 0)
+
+    def time():
+        day = draw.choice([0, 0, 1, 2, 5, 9])
+        return zero + dt.timedelta(days=day, seconds=draw.choice([0, 1, 59, 3599, 3600, draw.randrange(86_400)]),
+                                   microseconds=draw.choice([0, 0, 1, 999_999, draw.randrange(10**6)]))
+
+    hot = [(zero + dt.timedelta(microseconds=draw.randrange(50)), "v", draw.random()) for _ in range(400)]
+    readings = hot + [(time(), draw.choice("vw"), draw.choice([None, 100 * draw.random(), draw.random()])) for _ in range(900)]
+    spans = [(n, time(), time()) for n in range(300)] + [(300 + n, t, t) for n, (t, _, _) in enumerate(readings[::9])]
+    spans += [(900, zero, None), (901, None, zero), (902, zero - dt.timedelta(days=30), zero + dt.timedelta(days=30))]
+    runs = spark.createDataFrame(spans, "number long, start timestamp_ntz, end timestamp_ntz")
+    df = spark.createDataFrame(readings, "ts timestamp_ntz, sensor string, value double").repartition(5)
+    got = {r.number: r.mean_value for r in joins.interval_mean(runs, df, "v").collect()}
+    assert len(got) == len(spans)
+    for number, start, end in spans:
+        inside = [v for t, s, v in readings if s == "v" and v is not None and start and end and start <= t <= end]
+        assert got[number] == (pytest.approx(sum(inside) / len(inside), rel=1e-9) if inside else None)
+    assert joins.interval_mean(runs.limit(0), df, "v").count() == 0
+    assert rows(joins.interval_mean(runs.filter("number = 902"), df.limit(0), "v"), "mean_value") == [(None,)]
+
+
 def test_strays(spark, rows):
     files = spark.createDataFrame(
         [("/d/known", "f1", False), ("/d", "known", True), ("/d/other", "f2", False), ("/base", "sub", True),
