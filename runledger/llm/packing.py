@@ -16,6 +16,8 @@ from runledger.llm.tokens import encoder
 PIECES = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 #: Windows that are balanced together; it bounds a task's memory and the cost of a merge.
 BATCH_WINDOWS = 256
+#: Pieces shorter than a window by this factor are bundled before they are balanced.
+BUNDLES = 16
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -109,6 +111,35 @@ def _insert(room: list[tuple[int, int]], entry: tuple[int, int]) -> None:
     room.insert(lo, entry)
 
 
+def bundled(sizes: list[int], least: int) -> list[tuple[list[int], int]]:
+    """Items as bundles (item numbers, size) of at least ``least``, but for the last: small items share one, in order.
+
+    The number of bundles is bounded by the total size, however many tiny items there are.
+    """
+    found: list[tuple[list[int], int]] = []
+    open_: list[int] = []
+    held = 0
+    for i, size in enumerate(sizes):
+        if size >= least:
+            found.append(([i], size))
+            continue
+        open_.append(i)
+        held += size
+        if held >= least:
+            found.append((open_, held))
+            open_, held = [], 0
+    return [*found, (open_, held)] if open_ else found
+
+
+def within(sizes: list[int], start: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(item, start, length) of the parts of items that lie in a stretch of their bundle."""
+    for i, size in enumerate(sizes):
+        low, high = max(0, start), min(size, start + length)
+        if low < high:
+            yield i, low, high - low
+        start -= size
+
+
 def _pack(path: str, end_id: int, capacity: int, literal: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, literal).ids
@@ -123,12 +154,14 @@ def _pack(path: str, end_id: int, capacity: int, literal: bool):
 
         def settle():
             nonlocal sequence, held
-            for window in balance([len(p[3]) // 4 for p in waiting], capacity):
+            bundles = bundled([len(p[3]) // 4 for p in waiting], max(1, capacity // BUNDLES))
+            for window in balance([size for _, size in bundles], capacity):
                 offset = 0
-                for i, start, length in window:
-                    doc_id, before, doc_tokens, ids = waiting[i]
-                    place(doc_id, before + start, ids[4 * start : 4 * (start + length)], doc_tokens, offset)
-                    offset += length
+                for b, start, length in window:
+                    for i, at, n in within([len(waiting[i][3]) // 4 for i in bundles[b][0]], start, length):
+                        doc_id, before, doc_tokens, ids = waiting[bundles[b][0][i]]
+                        place(doc_id, before + at, ids[4 * at : 4 * (at + n)], doc_tokens, offset)
+                        offset += n
                 sequence += 1
             waiting.clear()
             held = 0
@@ -146,13 +179,13 @@ def _pack(path: str, end_id: int, capacity: int, literal: bool):
                     held += total - full
                 if held >= BATCH_WINDOWS * capacity:
                     settle()
-                if len(rows) >= 4096:
-                    yield _batch(rows)
-                    rows = []
+                while len(rows) >= 4096:
+                    yield _batch(rows[:4096])
+                    rows = rows[4096:]
         if waiting:
             settle()
-        if rows:
-            yield _batch(rows)
+        for low in range(0, len(rows), 4096):
+            yield _batch(rows[low : low + 4096])
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +47,8 @@ LEAST = 16
 NEAR = 200
 #: A private key in PEM, and its body: lines of base64, also quoted or with escaped line ends.
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+PEM_END = re.compile("-----END")
+PEM_LINE = re.compile(r"(?<!\\)[A-Za-z0-9+/]{16,}")
 _SEP = r"""(?:\s|\\[nrt]|["',>|]|\+(?=\s))"""
 PEM_BODY = re.compile(rf"{_SEP}*([A-Za-z0-9+/]{{16,}}={{0,2}}(?:{_SEP}+[A-Za-z0-9+/]{{16,}}={{0,2}})*"
                       rf"(?:{_SEP}+(?:[A-Za-z0-9+/]{{1,15}}={{0,2}}(?={_SEP}*(?:=|-----END))|[A-Za-z0-9+/]{{1,14}}={{1,2}}))?)")
@@ -111,8 +114,38 @@ def sensitive_ranges(text: str, words: list[tuple[int, int]]) -> list[tuple[int,
     return ranges
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    """Candidates (start, end) with the pieces that sensitive words and equals signs inside them leave."""
+def pem_bodies(text: str) -> Iterator[tuple[int, int]]:
+    """The body that follows each header of a private key; it is looked for before the next header or end line alone,
+    so that a text of nothing but headers is read once."""
+    headers = [m.span() for m in PEM.finditer(text)]
+    ends = [m.start() for m in PEM_END.finditer(text)] if headers else []
+    for n, (_, at) in enumerate(headers):
+        following = headers[n + 1][0] if n + 1 < len(headers) else len(text)
+        k = bisect_left(ends, at)
+        stop = ends[k] if k < len(ends) else at + NEAR
+        first = PEM_LINE.search(text, at, min(following, stop + LEAST - 1))
+        body = PEM_BODY.match(text, first.start(), following) if first and first.start() < stop else None
+        if body:
+            yield body.span(1)
+
+
+def is_path(text: str, s: int, e: int) -> bool:
+    """Is this run of key-like characters part of an address or a path: words between slashes, or after a scheme?"""
+    parts = text[s:e].split("/")
+    if len(parts) < 2:
+        return False
+    before = text[max(0, s - NEAR) : s].split()
+    if "://" in text[s:e] or (before and not text[s - 1].isspace() and "://" in before[-1]):
+        return True
+    words = [p for p in parts if len(p) > 1 and p.isalpha() and (p.islower() or p.istitle())]
+    return len(words) > 1 or any(len(w) > 3 for w in words)
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]], bool]]:
+    """Candidates (start, end) with the pieces that sensitive words and equals signs inside them leave.
+
+    A path is cut at its slashes as well, and is no candidate as a whole, which the last value says.
+    """
     words = [m.span() for m in SENSITIVE.finditer(text)]
     ranges = sensitive_ranges(text, words)
     r = w = 0
@@ -129,9 +162,13 @@ def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
         k = w
         while k < len(words) and words[k][0] < e:
             k += 1
-        cuts = sorted(words[w:k] + [(s + c.start(), s + c.end()) for c in INNER_EQUALS.finditer(m[0])])
+        cuts = words[w:k] + [(s + c.start(), s + c.end()) for c in INNER_EQUALS.finditer(m[0])]
+        path = "/" in m[0] and is_path(text, s, e)
+        if path:
+            cuts += [(i, i + 1) for i in range(s, e) if text[i] == "/"]
+        cuts.sort()
         pieces = zip([s, *(b for _, b in cuts)], [*(a for a, _ in cuts), e], strict=True)
-        yield s, e, [(a, b) for a, b in pieces if b - a >= LEAST] if cuts else []
+        yield s, e, [(a, b) for a, b in pieces if b - a >= LEAST] if cuts else [], not path
 
 
 def surroundings(text: str, s: int, e: int) -> tuple[str, str]:
@@ -199,14 +236,12 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty,
             return True
         return False
 
-    for m in PEM.finditer(text):
-        body = PEM_BODY.search(text, m.end())
-        stop = text.find("-----END", m.end())
-        if body and body.start(1) < (stop if stop >= 0 else m.end() + NEAR) and novel(*body.span(1)):
-            found.append(body.span(1))
+    for s, e in pem_bodies(text):
+        if novel(s, e):
+            found.append((s, e))
     bounds = sorted(bounds + found)
     furthest, at = 0, 0
-    for s, e, pieces in candidates(text):
+    for s, e, pieces, whole in candidates(text):
         while at < len(bounds) and bounds[at][0] < e:
             furthest = max(furthest, bounds[at][1])
             at += 1
@@ -215,7 +250,7 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty,
         new = [p for p in pieces if novel(*p)]
         if new:
             found.append((new[0][0], new[-1][1]))
-        elif novel(s, e):
+        elif whole and novel(s, e):
             found.append((s, e))
     fixed = sorted((a, b) for _, a, b in taken)
     return [("novel", s, e) for s, e in everywhere(text, found, fixed)]
