@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from runledger.llm.common import columns, written
 from runledger.scale import broadcast_if_small
 
-#: Comments, declarations, elements whose content is no markup, and tags.
+#: Comments, declarations, elements whose content is no markup, and tags; all are matched where a "<" stands.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(script|style|noscript|template|svg|iframe|textarea|title|canvas|audio|video)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I)
+#: A tag that the rule above does not take, such as one with an odd quote, ends at the next ">".
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 BLOCKS = frozenset(
@@ -52,34 +54,77 @@ FRAMES = frozenset("html body main article".split())
 #: Share of a page's text from which an element is kept, whatever its name.
 MOST, MOST_BESIDE = 0.5, 0.9
 LEVELS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements nested deeper than this count as siblings, as browsers take them.
+DEPTH = 256
+
+
+class Paths:
+    """Generalised paths of a page as numbers; a path is its parent's number and a name, so that depth costs nothing."""
+
+    def __init__(self):
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.parents, self.names = [-1], [""]
+
+    def below(self, parent: int, name: str) -> int:
+        number = self.numbers.get((parent, name))
+        if number is None:
+            number = self.numbers[parent, name] = len(self.names)
+            self.parents.append(parent)
+            self.names.append(name)
+        return number
+
+    def up(self, number: int) -> list[int]:
+        """The path and all around it, to the root."""
+        found = []
+        while number >= 0:
+            found.append(number)
+            number = self.parents[number]
+        return found
+
+    def text(self, number: int) -> str:
+        return ">".join(self.names[n] for n in reversed(self.up(number)) if n)
+
+    def find(self, path: str) -> int | None:
+        number: int | None = 0
+        for name in path.split(">") if path else ():
+            number = self.numbers.get((number, name))
+            if number is None:
+                return None
+        return number
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "skip", "mark", "size", "article")
+    __slots__ = ("tag", "path", "parent", "mark", "size", "article", "gone")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, skip: bool, mark: float = 0.0):
-        self.tag, self.path, self.parent, self.skip = tag, path, parent, skip
-        #: Share of the page's text up to which the element's name removes it, and its text.
+    def __init__(self, tag: str, path: int, parent: Node | None, mark: float = 0.0):
+        self.tag, self.path, self.parent = tag, path, parent
+        #: Share of the page's text up to which tag, role, style or names remove the element, and its text.
         self.mark, self.size = mark, 0
-        self.article = tag if tag in ("article", "main") else ""
+        self.article = self if tag in ("article", "main") else parent.article if parent else None
+        #: Outermost element around the node that is removed.
+        self.gone: Node | None = None
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(text)} if text else {}
 
 
-def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in OUTSIDE:
-        return True
-    if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
-    if attributes.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog"):
-        return True
-    return False
+def _unwanted(tag: str, attributes: dict[str, str]) -> float:
+    """Share of the page's text up to which tag, role and style remove an element; 0 if they do not.
+
+    Wrappers of a whole page are often forms, hidden until a script has run, or called a dialog, and headers may never be
+    closed: an element that holds nearly all text is kept whatever it is.
+    """
+    share = (MOST if tag in ("form", "header", "dialog", "head") else MOST_BESIDE) if tag in OUTSIDE else 0.0
+    if attributes:
+        if attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in ("banner", "alert", "dialog"):
+            share = max(share, MOST)
+        if attributes.get("role", "").lower() in ("navigation", "contentinfo", "complementary", "search"):
+            share = MOST_BESIDE
+        if "hidden" in attributes or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+            share = MOST_BESIDE
+    return share
 
 
 def _mark(tag: str, attributes: dict[str, str]) -> float:
@@ -96,27 +141,53 @@ def _mark(tag: str, attributes: dict[str, str]) -> float:
 
 def generalised(tag: str, attributes: dict[str, str]) -> str:
     """Tag and class names with runs of digits replaced, so that numbered siblings have one path."""
-    names = sorted({re.sub(r"\d+", "N", c) for c in attributes.get("class", "").split()})
+    names = sorted({re.sub(r"\d+", "N", c).replace(">", "") for c in attributes.get("class", "").split()})
     return ".".join([tag, *names])
 
 
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """Blocks in page order: the innermost open element, the text, and how much of it stands in links.
+def tokens_of(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag, is it an end tag, attributes) of the markup in a page; the tag is None for what has no content.
+
+    Every place is read a bounded number of times, whatever is not closed.
+    """
+    at, last = 0, page.rfind(">")
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        if start > last and not page.startswith("<!--", start):
+            return  # no tag ends any more: the rest is text
+        m = TOKEN.match(page, start)
+        if m:
+            yield start, m.end(), m[3] and m[3].lower(), bool(m[2]), m[4] or ""
+            at = m.end()
+            continue
+        m = LOOSE_TAG.match(page, start)
+        if m:
+            yield start, m.end(), m[2].lower(), bool(m[1]), m[3]
+        at = m.end() if m else start + 1
+
+
+Blocks = list[tuple[Node, str, int]]
 
-    Elements outside the article have no blocks; names mark such elements unless they hold most of the text.  Unclosed and misplaced tags are taken as browsers take them: a block
-    ends an open paragraph, an end tag without a start is ignored.
+
+def blocks_of(page: str) -> tuple[Blocks, Paths]:
+    """Blocks in page order: the innermost open element, the text, and how much of it stands in links; and the paths.
+
+    Elements outside the article have no blocks, unless they hold most of the text.  Unclosed and misplaced tags are
+    taken as browsers take them: a block ends an open paragraph, an end tag without a start is ignored.
     """
-    root = Node("#", "", None, False)
-    stack, found, buffer = [root], [], []
+    paths = Paths()
+    root = Node("#", 0, None)
+    nodes, stack, found, buffer = [root], [root], [], []
     linked, anchors = 0, 0
 
     def flush():
         nonlocal linked
         if buffer:
-            node = stack[-1]
-            text = "" if node.skip else " ".join(entities.unescape("".join(buffer)).split())
+            text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                found.append((node, text, linked))
+                found.append((stack[-1], text, linked))
             buffer.clear()
         linked = 0
 
@@ -124,21 +195,27 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
         flush()
         del stack[down_to:]
 
+    def open_(tag: str, name: str, mark: float):
+        flush()
+        if len(stack) > DEPTH:
+            stack.pop()
+        parent = stack[-1]
+        stack.append(Node(tag, paths.below(parent.path, name), parent, mark))
+        nodes.append(stack[-1])
+
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
+    for start, end, tag, is_end, inside in tokens_of(page):
+        if start > at:
+            text = page[at:start]
             buffer.append(text)
             if anchors:
                 linked += len(text.strip())
-        at = m.end()
-        tag = m[3]
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br":
             buffer.append(" ")
-        elif m[2]:
+        elif is_end:
             if tag == "a":
                 anchors = max(0, anchors - 1)
             if tag in BLOCKS or any(n.tag == tag for n in stack[-3:]):
@@ -169,58 +246,43 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                         break
                 elif stack[i].tag in SCOPE:
                     break
-            if tag not in VOID and not m[4].endswith("/"):
-                attributes = _attributes(m[4])
-                parent = stack[-1]
-                stack.append(Node(tag, f"{parent.path}>{generalised(tag, attributes)}" if parent.path else generalised(tag, attributes),
-                                  parent, parent.skip or _unwanted(tag, attributes), _mark(tag, attributes)))
-        elif tag not in VOID and m[4] and not m[4].endswith("/"):  # an inline element that may be an advert or hidden
-            attributes = _attributes(m[4])
-            hidden, mark = _unwanted(tag, attributes), _mark(tag, attributes)
-            if hidden or mark:
-                flush_to = stack[-1]
-                kept = list(buffer)
-                if not flush_to.skip:
-                    stack.append(Node(tag, f"{flush_to.path}>{tag}", flush_to, hidden, mark))
-                    found_kept = " ".join(entities.unescape("".join(kept)).split())
-                    buffer.clear()
-                    if found_kept:
-                        found.append((flush_to, found_kept, linked))
-                    linked = 0
+            if tag not in VOID and not inside.endswith("/"):
+                attributes = _attributes(inside)
+                open_(tag, generalised(tag, attributes), max(_unwanted(tag, attributes), _mark(tag, attributes)))
+        elif tag not in VOID and inside and not inside.endswith("/"):  # an inline element that may be an advert or hidden
+            attributes = _attributes(inside)
+            mark = max(_unwanted(tag, attributes), _mark(tag, attributes))
+            if mark:
+                open_(tag, tag, mark)
     if at < len(page):
         buffer.append(page[at:])
     flush()
-    return _without_marked(found)
+    return _without_removed(found, nodes), paths
 
 
-def _without_marked(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    """The blocks outside elements that their names mark and that do not hold most of the page's text."""
-    total = 0
+def _without_removed(found: Blocks, nodes: list[Node]) -> Blocks:
+    """The blocks outside elements that are removed, which are those that do not hold most of the page's text.
+
+    A header inside an article keeps its headings.  Nodes are in page order, so a node's parent comes before it.
+    """
     for node, text, _ in found:
-        total += len(text)
-        at: Node | None = node
-        while at is not None:
-            at.size += len(text)
-            at = at.parent
+        node.size += len(text)
+    for node in reversed(nodes[1:]):
+        node.parent.size += node.size
+    total = nodes[0].size
+    for node in nodes[1:]:
+        node.gone = node.parent.gone or (node if node.mark and node.size <= node.mark * total else None)
 
-    def removed(at: Node | None) -> bool:
-        while at is not None:
-            if at.mark and at.size <= at.mark * total:
-                return True
-            at = at.parent
-        return False
+    def kept(node: Node) -> bool:
+        gone = node.gone
+        return gone is None or (gone.tag == "header" and gone.article is not None and node.tag in HEADINGS)
 
-    return [block for block in found if not removed(block[0])]
+    return [block for block in found if kept(block[0])]
 
 
 def _holder(node: Node) -> Node:
     """The element to vote for: the nearest article or main around a node, else the node itself."""
-    at = node
-    while at is not None and at.parent is not None:
-        if at.article:
-            return at
-        at = at.parent
-    return node
+    return node.article or node
 
 
 #: Parts of a list or table, which are no container of an article by themselves.
@@ -240,52 +302,44 @@ def votes(page: str | None) -> list[tuple[str, str, float, float, float, float]]
     ancestor up to the root, whose path is empty, with the shares of the page's unlinked text inside it and directly in
     it, a first heading counting as much as is needed.
     """
-    scores: dict[str, float] = {}
-    cover: dict[str, float] = {}
-    direct: dict[str, float] = {}
-    above: dict[str, list[str]] = {}
+    blocks, paths = blocks_of(page or "")
+    scores: dict[int, float] = {}
+    cover: dict[int, float] = {}
+    direct: dict[int, float] = {}
     text_size = 0
-    for node, text, linked in blocks_of(page or ""):
+    for node, text, linked in blocks:
         weight = max(0, len(text) - 2 * linked)
         outer = node.parent if node.tag in ("p", "pre", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "td") else node
         text_size += weight
-        at, inside = node, []
-        while at is not None:
-            inside.append(at)
-            at = at.parent
-        for path in {n.path for n in inside}:
-            cover[path] = cover.get(path, 0.0) + weight
+        cover[node.path] = cover.get(node.path, 0.0) + weight
         if weight:
-            k = next(i for i, n in enumerate(inside) if n is outer)
-            while inside[k].tag in INNER and inside[k].parent is not None:
-                k += 1
-            path = inside[k].path
-            direct[path] = direct.get(path, 0.0) + (float("inf") if node.tag == "h1" else weight)
+            around = outer
+            while around.tag in INNER and around.parent is not None:
+                around = around.parent
+            direct[around.path] = direct.get(around.path, 0.0) + (float("inf") if node.tag == "h1" else weight)
         for share in (1.0, 0.5):
             if outer is None or outer.parent is None:
                 break
             holder = _holder(outer)
             scores[holder.path] = scores.get(holder.path, 0.0) + share * weight
-            if holder.path not in above:
-                up, at = [], holder
-                while at is not None:
-                    up.append(at.path)
-                    at = at.parent
-                above[holder.path] = up
             if holder is not outer:
                 break
             outer = outer.parent
     total = sum(scores.values())
     if not total:
         return []
+    for number in range(len(paths.names) - 1, 0, -1):  # a path's parent has a smaller number
+        parent = paths.parents[number]
+        cover[parent] = cover.get(parent, 0.0) + cover.get(number, 0.0)
     best = max(scores.values())
     rows = []
-    for path, score in sorted(scores.items()):
+    for number, score in scores.items():
         notable = score == best or score >= NOTABLE * total
-        for ancestor in dict.fromkeys(above[path]) if notable else [path]:
-            rows.append((path, ancestor, score / total if ancestor == path else 0.0, float(notable), cover[ancestor] / text_size,
-                         min(1.0, direct.get(ancestor, 0.0) / text_size)))
-    return rows
+        path = paths.text(number)
+        for ancestor in paths.up(number) if notable else [number]:
+            rows.append((path, paths.text(ancestor), score / total if ancestor == number else 0.0, float(notable),
+                         cover[ancestor] / text_size, min(1.0, direct.get(ancestor, 0.0) / text_size)))
+    return sorted(rows, key=lambda r: (r[0], -len(r[1])))
 
 
 def climbed(path: str, around: list[tuple[str, float, float, float]]) -> str:
@@ -310,25 +364,28 @@ def climbed(path: str, around: list[tuple[str, float, float, float]]) -> str:
 
 def extract(page: str | None, path: str | None) -> tuple[str, str | None]:
     """Text of the elements on ``path``, or in the page's own best container if it has none there; and the path taken."""
-    blocks = blocks_of(page or "")
+    blocks, paths = blocks_of(page or "")
     if not blocks:
         return "", None
-    inside = [t for node, t, _ in blocks if _within(node, path)] if path is not None else []
+    inside = _within(blocks, paths, path) if path is not None else []
     if not inside:
         own = votes(page)
         path = max(((p, s) for p, a, s, *_ in own if a == p), key=lambda v: (v[1], v[0]))[0] if own else None
         if path is not None:
             path = climbed(path, [(a, *rest) for p, a, _, *rest in own if p == path])
-        inside = [t for node, t, _ in blocks if path is None or _within(node, path)]
+        inside = _within(blocks, paths, path) if path is not None else [t for _, t, _ in blocks]
     return "\n\n".join(inside), path
 
 
-def _within(node: Node | None, path: str | None) -> bool:
-    while node is not None:
-        if node.path == path:
-            return True
-        node = node.parent
-    return False
+def _within(blocks: Blocks, paths: Paths, path: str) -> list[str]:
+    """Texts of the blocks inside elements on a path."""
+    wanted = paths.find(path)
+    if wanted is None:
+        return []
+    inside = [number == wanted for number in range(len(paths.names))]
+    for number in range(1, len(paths.names)):
+        inside[number] = inside[number] or inside[paths.parents[number]]
+    return [text for node, text, _ in blocks if inside[node.path]]
 
 
 _VOTE = ["host", "path", "ancestor", "share", "pages", "cover", "direct"]

@@ -7,6 +7,7 @@ import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -551,3 +552,108 @@ def test_whole_article(spark, article):
         (i, "https://a.example/x", f"<html><body><div class=other>{PARAGRAPHS}</div></body></html>") for i in (3, 4)]
     got = html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert [r.text.split("\n\n") for r in sorted(got)] == [parts] * 3 + [BODY_TEXT.split("\n\n")] * 2
+
+
+# pages: wrappers, headers, and awkward markup
+
+PARAGRAPHS = [f"Paragraph {w} of the article has quite a few words in it, so that nobody takes it for a menu or a notice." for w in
+              ("one", "two", "three", "four", "five")]
+MENU = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">Shop</a></li></ul></nav>'
+FOOTER = "<footer><p>Imprint and contact</p></footer>"
+
+
+def article(headline="The headline"):
+    return f"<div class='story'><h1>{headline}</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</div>"
+
+
+@pytest.mark.parametrize("before, after", [
+    ('<form id="aspnetForm" action="/x">', "</form>"), ('<div style="display:none">', "</div>"), ('<div aria-hidden="true">', "</div>"),
+    ('<div role="dialog">', "</div>"), ("<header>", ""), ("<dialog open>", "</dialog>"), ("<div hidden>", "</div>"), ("", "")])
+def test_wrappers_of_the_article_stay(before, after):
+    page = f"<html><head><title>t</title></head><body>{MENU}{before}{article()}{after}{FOOTER}</body></html>"
+    assert html.extract(page, None)[0].split("\n\n") == ["The headline", *PARAGRAPHS]
+    body = before.replace("<div", "<body") if before.startswith("<div") else "<body>"
+    assert html.extract(f"<html>{body}{MENU}{article()}{FOOTER}</body></html>", None)[0].split("\n\n") == ["The headline", *PARAGRAPHS]
+
+
+def test_small_parts_of_the_same_kinds_go():
+    parts = ['<form><p>Your name</p></form>', '<div style="display: none">Hidden words</div>', '<div aria-hidden="true">More</div>',
+             '<div role="dialog">Accept all</div>', "<header><p>Site name</p></header>", "<aside>See also</aside>"]
+    page = f"<html><body>{MENU}{''.join(parts)}<main>{article()}{parts[0]}</main>{FOOTER}</body></html>"
+    assert html.extract(page, None)[0].split("\n\n") == ["The headline", *PARAGRAPHS]
+
+
+def test_header_of_an_article_keeps_its_headline():
+    inner = f"<header><h1>The headline</h1><p>By somebody</p></header>{''.join(f'<p>{p}</p>' for p in PARAGRAPHS)}"
+    for tag in ("article", "main"):
+        page = f"<html><body><header><h2>Site</h2></header>{MENU}<{tag}>{inner}</{tag}>{FOOTER}</body></html>"
+        assert html.extract(page, None)[0].split("\n\n") == ["The headline", *PARAGRAPHS]
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<a " * 350_000 + ">", "<div>" * 200_000, "<div>x" * 170_000, "<div class='a'><p>word</p>" * 40_000,
+    '<a ">"' * 170_000, "<a '" * 250_000, "<!" * 500_000, "<script" * 140_000, "<ul><li>x" * 110_000, "<" * 1_000_000, "</p " * 250_000])
+def test_awkward_pages_of_a_megabyte(page):
+    begin = time.process_time()
+    html.votes(page)
+    html.extract(page, None)
+    assert time.process_time() - begin < 20
+
+
+def test_markup_that_does_not_end():
+    assert html.extract("<p>one < two</p><p>three <b four", None)[0] == "one < two\n\nthree <b four"
+    assert html.extract('<p title="odd>first</p><p>second</p>', None)[0].endswith("second")
+    assert html.extract("<p>text</p><!-- never closed <p>hidden</p>", None)[0] == "text"
+    assert html.extract("<div>" * 1000 + "deep" + "</div>" * 1000 + "<p>after</p>", None)[0] == "deep\n\nafter"
+
+
+def plain_reading(page):
+    """A second, slow reading of a page by the library's parser: text of article blocks outside what is never the article."""
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.out, self.words = [], [], []
+
+        def cut(self):
+            text = " ".join("".join(self.words).split())
+            if text and not any(bad for _, bad in self.open):
+                self.out.append(text)
+            self.words = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html.BLOCKS:
+                self.cut()
+            if tag not in html.VOID:
+                names = " ".join(v or "" for k, v in attrs if k in ("class", "id")).split()
+                marked = any(set(re.split(r"[^a-z]+", n.lower())) & html.MARKS for n in names)
+                self.open.append((tag, tag in html.OUTSIDE or tag in ("script", "style", "title", "noscript") or marked))
+
+        def handle_endtag(self, tag):
+            if tag in html.BLOCKS:
+                self.cut()
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i][0] == tag:
+                    del self.open[i:]
+                    break
+
+        def handle_data(self, data):
+            self.words.append(data)
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.cut()
+    return reader.out
+
+
+def test_pages_against_a_second_reading(spark):
+    """What is extracted are blocks that the second reading has too, in its order, and nearly all of them."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    found = {r.page_id: r.text for r in html.extract_main_text(pages).collect()}
+    shares = []
+    for r in pages.collect():
+        expected = plain_reading(r.html)
+        blocks = found[r.page_id].split("\n\n") if found[r.page_id] else []
+        at = iter(expected)
+        assert all(block in at for block in blocks), (r.page_id, blocks, expected)
+        shares.append(sum(map(len, blocks)) / max(1, sum(map(len, expected))))
+    assert len(shares) == pages.count() and sorted(shares)[len(shares) // 10] > 0.8
