@@ -105,6 +105,42 @@ def directory_digest(fingerprints: DataFrame, algo: str = "sha512") -> DataFrame
     return rows.mapInPandas(reduce, "dir string, digest string, n_files long")
 
 
+def digest_nodes(files: DataFrame, levels: int = 3) -> DataFrame:
+    """Nodes of a digest tree per directory: (dir, level, node, digest, n_files); ``node`` is a prefix of hex digits.
+
+    Input: (dir, name, fingerprint).  A file is the SHA-256 of its name and fingerprint; files whose digests share
+    ``levels`` digits form a leaf, and sixteen nodes a node of the level above, up to the root, level 0.  Names are
+    spread evenly by their digests, so a directory of millions of files is summed by many tasks, and each level combines
+    what many tasks made of the one below.
+    """
+    own = F.sha2(F.concat_ws("\n", F.coalesce("name", F.lit("")), F.coalesce("fingerprint", F.lit(""))), 256)
+    rows = files.select("dir", own.alias("digest"))
+    level = rows.groupBy("dir", F.substring("digest", 1, levels).alias("node")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("digest"), F.count(F.lit(1)).alias("n_files"))
+    nodes = level.withColumn("level", F.lit(levels))
+    for up in range(levels - 1, -1, -1):
+        children = F.array_sort(F.collect_list(F.struct("node", "digest")))
+        level = level.groupBy("dir", F.substring("node", 1, up).alias("_node")).agg(
+            F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"),
+            F.sum("n_files").alias("n_files")).withColumnRenamed("_node", "node")
+        nodes = nodes.unionByName(level.withColumn("level", F.lit(up)))
+    return nodes.select("dir", "level", "node", "digest", "n_files")
+
+
+def tree_digest(files: DataFrame, levels: int = 3) -> DataFrame:
+    """Digest of each directory by the roots of its tree: (dir, digest, n_files)."""
+    return digest_nodes(files, levels).filter("level = 0").select("dir", "digest", "n_files")
+
+
+def differing_leaves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Leaves (dir, node) of two sets of ``digest_nodes`` that differ, found without a look at the files."""
+    leaf = before.agg(F.max("level")).first()[0]
+    sides = [n.filter(F.col("level") == leaf).select("dir", "node", F.col("digest").alias(side)) for n, side in
+             ((before, "_before"), (after, "_after"))]
+    both = sides[0].join(sides[1], ["dir", "node"], "full")
+    return both.filter(~F.col("_before").eqNullSafe(F.col("_after"))).select("dir", "node")
+
+
 def duplicate_files(files: DataFrame) -> DataFrame:
     """Fingerprints that occur more than once in a directory."""
     return files.groupBy("dir", "fingerprint").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)

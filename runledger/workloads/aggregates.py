@@ -63,6 +63,21 @@ def a6(spark, sf):
     return op.directory_digest(fingerprint(fx.files(spark, sf), "sha256"), "sha256")
 
 
+TREE_SQL = """
+, leaf AS (SELECT dir, substr(h, 1, 3) AS node, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n
+  FROM (SELECT dir, sha256(name || chr(10) || fingerprint) AS h FROM listing) x GROUP BY 1, 2),
+two AS (SELECT dir, substr(node, 1, 2) AS node, sha256(string_agg(d, '' ORDER BY leaf.node)) AS d, CAST(sum(n) AS BIGINT) AS n
+  FROM leaf GROUP BY dir, substr(leaf.node, 1, 2)),
+one AS (SELECT dir, substr(node, 1, 1) AS node, sha256(string_agg(d, '' ORDER BY two.node)) AS d, CAST(sum(n) AS BIGINT) AS n
+  FROM two GROUP BY dir, substr(two.node, 1, 1))
+SELECT dir, sha256(string_agg(d, '' ORDER BY node)) AS digest, CAST(sum(n) AS BIGINT) AS n_files FROM one GROUP BY dir"""
+
+
+@query("a15_tree_digest", TREE_SQL, "listing")
+def a15(spark, sf):
+    return op.tree_digest(fx.listing(spark, sf))
+
+
 @query("a7_duplicate_files", """
 SELECT dir, fingerprint, count(*) AS n FROM listing GROUP BY 1, 2 HAVING count(*) > 1""", "listing")
 def a7(spark, sf):

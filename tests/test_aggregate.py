@@ -93,3 +93,30 @@ def test_pretest_and_duplicates(spark, rows):
         "dir string, fingerprint string, is_dir boolean")
     assert rows(aggregate.duplicate_files(files)) == [("a", "1", 2)]
     assert rows(aggregate.directory_pretest(files)) == [("a", 3, 0, "ok"), ("b", 0, 1, "error"), ("c", 1, 1, "error")]
+
+
+def tree_by_hand(files, levels=3):
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    nodes = {"": sorted(sha(f"{name}\n{fp}") for name, fp in files)}
+    for n in range(1, levels + 1):
+        nodes = {h[:n]: [x for x in rows if x[:n] == h[:n]] for rows in nodes.values() for h in rows}
+    digests = {k: sha("".join(v)) for k, v in nodes.items()}
+    for n in range(levels - 1, -1, -1):
+        digests = {p: sha("".join(digests[k] for k in sorted(digests) if k[:n] == p)) for p in {k[:n] for k in digests}}
+    return digests[""]
+
+
+def test_tree_digest_of_a_hot_directory(spark, rows):
+    hot = [("hot", f"f{n}", f"sum{n % 7}") for n in range(9000)]
+    few = [("few", "a", "x"), ("few", "a", "x"), ("few", None, None)]
+    files = spark.createDataFrame(hot + few, "dir string, name string, fingerprint string").repartition(6)
+    expected = {"hot": tree_by_hand([f[1:] for f in hot]), "few": tree_by_hand([("a", "x"), ("a", "x"), ("", "")])}
+    assert {r.dir: r.digest for r in aggregate.tree_digest(files).collect()} == expected
+    nodes = aggregate.digest_nodes(files)
+    assert nodes.filter("dir = 'hot' AND level = 3").count() > 3000  # leaves of a hot directory are many small groups
+    changed = files.withColumn("fingerprint", F.when(F.col("name") == "f77", "other").otherwise(F.col("fingerprint")))
+    assert aggregate.differing_leaves(nodes, aggregate.digest_nodes(changed)).count() in (1, 2)
+    assert rows(aggregate.differing_leaves(nodes, nodes)) == []
+    assert aggregate.tree_digest(files.limit(0)).count() == 0

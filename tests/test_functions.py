@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -27,6 +28,19 @@ def test_fingerprints(spark, tmp_path, content):
         assert fingerprints.fingerprint_paths(paths, algo).first().fingerprint == want
 
 
+def test_adler32_of_blocks(spark, rows):
+    """Blocks of any size and order give the checksum of the whole; empty, missing and long contents."""
+    draw = random.Random(3)
+    contents = [b"", b"a", b"\xff" * 70_000, bytes(draw.randrange(256) for _ in range(10_001)), b"\x00" * 300, None]
+    files = spark.createDataFrame([(f"p{n}", "d", "n", c) for n, c in enumerate(contents)], "path string, dir string, name string, content binary")
+    want = [(f"p{n}", None if c is None else f"{zlib.adler32(c):08x}") for n, c in enumerate(contents)]
+    assert rows(fingerprints.fingerprint(files, "adler32"), "path", "fingerprint") == sorted(want, key=repr)
+    for size in (1, 7, 4096, 70_000):
+        few = files.filter("path <> 'p2'") if size == 1 else files
+        blocks = fingerprints.file_blocks(few, size).repartition(5)
+        assert set(rows(fingerprints.adler32(blocks))) == {w for w in want if w[1] and (size > 1 or w[0] != "p2")}
+
+
 def test_empty_directory_digest(spark):
     assert spark.range(1).select(fingerprints.empty_digest()).first()[0] == hashlib.sha512(b"").hexdigest()
 
