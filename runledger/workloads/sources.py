@@ -1,5 +1,6 @@
 """Readers, each over files that Spark writes from the tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -47,29 +48,34 @@ def s3(spark, sf):
     return catalogue.rule_numbers(catalogue.read_rules(spark, path, per_line=True))
 
 
-@query("s4_file_inventory",
-       "SELECT dir, CAST(sum(length + 1) AS BIGINT) AS bytes FROM files GROUP BY dir", "files")
+@query("s4_file_inventory", """
+SELECT source AS dir, doc_id, strlen(text) + 1 AS length, true AS has_time FROM documents""")
 def s4(spark, sf):
+    """A file per document, found with its directory and length."""
     path = scratch_dir(spark, "inventory")
-    fx.table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path)
+    fx.table(spark, sf, "documents").select("source", "doc_id", "text").repartition("doc_id").write.partitionBy(
+        "source", "doc_id").text(path)
     found = files.file_inventory(spark, path)
-    return found.groupBy(F.regexp_extract("dir", "source=(.*)$", 1).alias("dir")).agg(F.sum("length").alias("bytes"))
+    return found.select(F.regexp_extract("dir", "source=([^/]*)", 1).alias("dir"),
+                        F.regexp_extract("dir", r"doc_id=(\d+)$", 1).cast("long").alias("doc_id"), "length",
+                        F.col("modificationTime").isNotNull().alias("has_time"))
 
 
-@query("s5_read_logs", "SELECT count(*) AS n_lines, 0 AS n_gaps, 0 AS n_disorder FROM log_lines", "log_lines")
+@query("s5_read_logs", """
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS ordinal, line FROM log_lines""", "log_lines")
 def s5(spark, sf):
-    """Logs written in order; numbering must be gapless and follow the order."""
+    """Logs written in order, several to a file; the numbers of lines must give the order back."""
     path = scratch_dir(spark, "logs")
     fx.log_lines(spark, sf).repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no").select(
-        F.concat_ws("|", F.lpad("file", 20, "0"), F.lpad("line_no", 20, "0"), "line")).write.text(path)
-    lines = files.read_logs(spark, path).select("file", "line_no", F.substring("line", 1, 41).alias("key"))
-    after = lines.select("file", (F.col("line_no") - 1).alias("line_no"), F.col("key").alias("next_key"))
-    starts = (F.col("line_no") == 0)
-    pairs = lines.join(after, ["file", "line_no"], "left").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("next_key").isNull()).alias("_ends"),
-        F.count_if(starts).alias("_starts"), F.count_if(F.col("next_key") < F.col("key")).alias("n_disorder"))
-    return pairs.select("n_lines", (F.col("_ends") - F.col("_starts")).cast("int").alias("n_gaps"),
-                        F.col("n_disorder").cast("int").alias("n_disorder"))
+        F.concat_ws("|", "file", "line")).write.text(path)
+    lines = files.read_logs(spark, path).select(
+        F.col("file").alias("_file"), "line_no", F.substring_index("line", "|", 1).cast("long").alias("file"),
+        F.regexp_extract("line", r"^\d+\|(.*)$", 1).alias("line"))
+    first = lines.groupBy("file", "_file").agg(F.min("line_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return lines.join(first, ["file", "_file"]).select(
+        "file", (F.col("line_no") - F.col("_first") + F.col("_skip")).alias("ordinal"), "line")
 
 
 @query("s6_read_run_list", """
