@@ -244,12 +244,13 @@ def verify_upload(local: DataFrame, catalogue: DataFrame, rse: str, check: bool
 SALT = 64
 
 
-def rules_of_runs(runs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(number, rule_ids) per run number, with an empty list where no rule matches.
+def run_classes(runs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(number, class_id) of every run, and (class_id, rule_ids) of every list of rules that some run matches.
 
     Runs are read once.  Their numbers and times look up tree pieces of the rules' ranges in one join; what a run finds
-    is combined map-side into one list, which is no longer than the rule table.  Rules that take all runs are a list
-    too and join it once per run, so pairs arise only when a caller explodes the lists.
+    is combined map-side into one list, which is no longer than the rule table.  Runs with equal lists are a class.  Rules
+    that take all runs join the classes, not the runs, so pairs of runs and rules arise only when a caller joins members
+    and classes.
     """
     numbers, windows = number_ranges(rules), _seconds(name_windows(rules))
     ranges = numbers.select("rule_id", "lo", "hi", F.lit(0).alias("kind")).unionByName(
@@ -273,14 +274,18 @@ def rules_of_runs(runs: DataFrame, rules: DataFrame) -> DataFrame:
     found = looked_up.filter(F.col("rule_id").isNotNull() | once).groupBy("number").agg(
         F.collect_set("rule_id").alias("_found"))
 
+    members = found.select("number", F.array_sort("_found").alias("_found")).withColumn("class_id", F.md5(F.to_json("_found")))
+
     named = numbers.select("rule_id").distinct().withColumn("_named", F.lit(True))
     every = rules.select("rule_id", "run_name").join(named, "rule_id", "left").filter(
         F.col("_named").isNull() | (F.col("run_name") == "all"))
     every = every.agg(F.collect_set("rule_id").alias("_every")).select(
         "_every", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-    salt = F.pmod(F.xxhash64("number"), F.lit(SALT)).cast("int")
-    return found.withColumn("_salt", salt).join(broadcast_if_small(every), "_salt").select(
-        "number", F.array_union("_found", "_every").alias("rule_ids"))
+    lists = members.groupBy("class_id").agg(F.first("_found").alias("_found"))
+    salt = F.pmod(F.xxhash64("class_id"), F.lit(SALT)).cast("int")
+    classes = lists.withColumn("_salt", salt).join(broadcast_if_small(every), "_salt").select(
+        "class_id", F.array_union("_found", "_every").alias("rule_ids"))
+    return members.select("number", "class_id"), classes
 
 
 def match_rules(runs: DataFrame, rules: DataFrame, excludes: bool = False, detector: bool = False,
@@ -289,7 +294,8 @@ def match_rules(runs: DataFrame, rules: DataFrame, excludes: bool = False, detec
 
     Exclusions, detector and source are off by default.
     """
-    found = rules_of_runs(runs, rules).select("number", F.explode("rule_ids").alias("rule_id"))
+    members, classes = run_classes(runs, rules)
+    found = members.join(classes.select("class_id", F.explode("rule_ids").alias("rule_id")), "class_id").select("number", "rule_id")
     base = runs.select("number", F.unix_seconds(run_time(F.col("name")).cast("timestamp")).alias("_t"),
                        *(["detector"] if detector else []), *([F.col("source.type").alias("source_type")] if source else []))
     if excludes:
