@@ -155,8 +155,33 @@ lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM doc LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+RUNS_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, w, len(w) AS n,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda c: list_prepend((256 + ascii(c))::BIGINT, list_transform(range(8), lambda z: 0::BIGINT))))),
+      lambda a, x: CASE WHEN x >= 256 THEN xor(a, x - 256) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END),
+      4294967295) AS h
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\x0C\r]+') AS w FROM documents)),
+spot AS (SELECT rid, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS x
+  FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p
+    FROM (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM doc)))),
+same AS (SELECT s.rid, t.i - s.i AS q, s.i FROM spot s JOIN spot t ON s.rid = t.rid AND s.x = t.x AND s.i < t.i),
+island AS (SELECT rid, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS g FROM same) GROUP BY rid, q, g
+  HAVING count(*) + q >= greatest(12, 2 * q)),
+run AS (SELECT rid, start, length, min(q) AS period FROM island GROUP BY rid, start, length),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM run),
+best AS (SELECT rid, start, length, period FROM run
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length DESC, start, period) = 1),
+listed AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS l
+  FROM run GROUP BY rid),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS t FROM spot ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM doc LEFT JOIN listed USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)"""
+
 ORACLES = {
     "op1_quality_rules": quality.BASE_SQL, "op3_warc": WARC_SQL, "op4_near_duplicates": NEAR_SQL,
     "op9_decontamination": decontaminate.REPORT_SQL, "op10_substring_dedup": SUBSTRING_SQL,
-    "op11_source_divergence": divergence.DIVERGENCE_SQL,
+    "op11_source_divergence": divergence.DIVERGENCE_SQL, "op12_periodic_runs": RUNS_SQL,
 }
