@@ -144,6 +144,15 @@ class ChangeLog:
         kept = base.join(keys, self.key, "left_anti")
         return kept.unionByName(newest.where(F.col("_op") == PUT).select(*base.columns))
 
+    def keys_since(self, version: int) -> DataFrame:
+        """Keys that were changed after a version; only what those changes stored is read."""
+        made = (self.state(v)["change"] for v in range(version + 1, self.version() + 1))
+        folders = [c["folder"] for c in made if c]
+        schema = T.StructType([f for f in self._schema(self.state()).fields if f.name in self.key])
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders).select(*self.key).distinct()
+
     # -- writing ----------------------------------------------------------------
 
     def commit(self, change: Change, attempts: int = 8) -> int:

@@ -6,14 +6,15 @@ buckets: rows are ordered inside a bucket, and one row per bucket meets its neig
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import (ERROR, FAILED, STALL_ALERT_HOURS, STALL_PURGE_HOURS, TRANSFERRED, TRANSFERRING, VERIFYING)
-from ..scale import previous_in_key
+from ..operators.changes import ChangeLog, put
+from ..scale import broadcast_if_small, previous_in_key
 
 # States that may follow a state; repeating a state is not a transition.
 LEGAL = {
@@ -224,15 +225,76 @@ def _neighbours(summaries: DataFrame) -> DataFrame:
     fields = F.struct(*[c for c in summaries.columns if c not in key])
     newest = summaries.groupBy(*key).agg(F.max_by(fields, "seen").alias("_s")).select(*key, "_s.*")
 
-    def side(name: str, row: str = "") -> Column:
-        return F.struct(*[F.col(f"{row}{name}_{f}").alias(f) for f in EVENT])
+    following = F.lead(_side("first")).over(Window.partitionBy("replica_id").orderBy("bucket"))
+    return _pairs(newest, newest.withColumn("_next", following), ("replica_id",))
 
-    following = F.lead(side("first")).over(Window.partitionBy("replica_id").orderBy("bucket"))
-    across = newest.select("replica_id", side("last").alias("before"), following.alias("after"))
-    pairs = F.arrays_zip(*[f"{s}_{f}" for s in ("before", "after") for f in EVENT])
-    inside = newest.select("replica_id", F.explode(pairs).alias("_p")).select(
-        "replica_id", side("before", "_p.").alias("before"), side("after", "_p.").alias("after"))
-    return inside.unionByName(across)
+
+def _side(name: str, row: str = "") -> Column:
+    return F.struct(*[F.col(f"{row}{name}_{f}").alias(f) for f in EVENT])
+
+
+def _pairs(inside: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, before, after): the pairs of interest in summaries, and each summary's last event with the ``_next`` one."""
+    both = F.arrays_zip(*[f"{s}_{f}" for s in ("before", "after") for f in EVENT])
+    within = inside.select(*key, F.explode(both).alias("_p")).select(
+        *key, _side("before", "_p.").alias("before"), _side("after", "_p.").alias("after"))
+    return within.unionByName(edges.select(*key, _side("last").alias("before"), F.col("_next").alias("after")))
+
+
+# -- summaries folded into a table ------------------------------------------
+
+BUCKET_KEY = ("replica_id", "bucket")
+
+
+def summary_log(spark: SparkSession, path: str) -> ChangeLog:
+    """The newest summary of each bucket at ``path``; the table is made if there is none."""
+    log = ChangeLog(spark, path, BUCKET_KEY)
+    if not log.version():
+        log.create(spark.createDataFrame([], SUMMARY_SCHEMA))
+    return log
+
+
+def fold(log: ChangeLog, summaries: DataFrame) -> int:
+    """Put summaries that are newer than the stored ones of their buckets; returns the version.
+
+    The size of a change is that of ``summaries``, and summaries that were folded before change nothing.
+    """
+    fields = F.struct(*[c for c in summaries.columns if c not in BUCKET_KEY])
+    newest = summaries.groupBy(*BUCKET_KEY).agg(F.max_by(fields, "seen").alias("_s")).select(*BUCKET_KEY, "_s.*")
+
+    def change(table: DataFrame) -> DataFrame:
+        stored = table.select(*BUCKET_KEY, F.col("seen").alias("_seen"))
+        rows = newest.join(stored, list(BUCKET_KEY), "left")
+        return put(rows.filter(F.col("_seen").isNull() | (F.col("seen") > F.col("_seen"))).drop("_seen"))
+
+    return log.commit(change)
+
+
+def fold_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, compact_every: int = 20):
+    """Fold a stream of summaries into ``summary_log``; a replayed batch changes nothing."""
+    log = summary_log(stream.sparkSession, path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fold(log, batch)
+        if batch_id % compact_every == compact_every - 1:
+            log.compact()
+
+    return (stream.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def changed_neighbours(log: ChangeLog, since: int) -> DataFrame:
+    """The rows of ``_neighbours``, with ``bucket``, that may have changed after a version of the log.
+
+    These are the pairs inside touched buckets, and the pairs across between a touched bucket and the ones beside it.
+    Only replicas with touched buckets are looked at; a replica has one row per bucket there.
+    """
+    touched = log.keys_since(since).withColumn("_touched", F.lit(True))
+    rows = log.read().join(broadcast_if_small(touched.select("replica_id").distinct()), "replica_id", "left_semi")
+    rows = rows.join(touched, list(BUCKET_KEY), "left")
+    order = Window.partitionBy("replica_id").orderBy("bucket")
+    rows = rows.withColumns({"_next": F.lead(_side("first")).over(order), "_next_touched": F.lead("_touched").over(order)})
+    return _pairs(rows.filter("_touched"), rows.filter("_touched OR _next_touched"), ("replica_id", "bucket"))
 
 
 def stalled(summaries: DataFrame, now_ms: Column) -> DataFrame:

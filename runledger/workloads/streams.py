@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from .. import hooks
-from ..operators import mutate
+from ..operators import changes, mutate
 from ..operators.aggregate import good_copies
 from ..plans import corrections, purge
 from ..scale import scratch_dir
@@ -162,6 +162,33 @@ def t4s(spark, sf):
     return state.illegal(spark.read.schema(state.SUMMARY_SCHEMA).parquet(out))
 
 
+@query("t4_folded_transitions", TRANSITION_SQL, "status_events")
+def t4f(spark, sf):
+    """Summaries are folded into a table, and what each fold touched is derived again and put into another one."""
+    _stateful(spark)
+    found = changes.ChangeLog(spark, scratch_dir(spark, "found"), state.BUCKET_KEY)
+    kind = "array<struct<event_id:long,prev_status:string,status:string>>"
+    found.create(spark.createDataFrame([], f"replica_id long, bucket long, bad {kind}"))
+    folder = scratch_dir(spark, "summaries")
+    log = state.summary_log(spark, folder)
+    stream = state.transition_summaries(_shuffled_status_stream(spark, sf))
+
+    def start(rows, path, checkpoint):
+        def write(batch, batch_id):
+            before = log.version()
+            state.fold(log, batch)
+            pairs = state.changed_neighbours(log, before)
+            bad = F.when(F.col("after").isNotNull() & ~state.legal(F.col("before.status"), F.col("after.status")),
+                         F.struct("after.event_id", F.col("before.status").alias("prev_status"), "after.status"))
+            found.commit(lambda t: changes.put(pairs.groupBy("replica_id", "bucket").agg(F.collect_list(bad).alias("bad"))))
+
+        return rows.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(
+            **jobs.ONCE).start()
+
+    jobs.drain(stream, start, "folded")
+    return found.read().select("replica_id", F.explode("bad").alias("b")).select("replica_id", "b.*")
+
+
 @query("t5_transfer_series", """
 SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
   count(*) AS n_transfers, round(sum(value), 4) AS gb_up, round(avg(event_id % 100), 6) AS rate_up,

@@ -166,6 +166,37 @@ def test_a_pass_that_dies_leaves_the_mark(spark, rows, tmp_path, monkeypatch):
             jobs.scan(runs, folder, T0)
 
 
+def test_folded_summaries(spark, shuffled, rows, tmp_path):
+    """A fold stores what is new, a second one of the same rows nothing, and only touched buckets are derived again."""
+    now = F.lit(0)
+    found = summaries(spark, shuffled, state.transition_summaries, 1, bucket_seconds=3600)
+    log = state.summary_log(spark, str(tmp_path / "log"))
+    assert state.fold(log, found.filter("replica_id < 3")) == 2
+    assert rows(log.keys_since(2)) == [] and log.keys_since(1).filter("replica_id > 2").isEmpty()
+    assert state.fold(log, found) == 3 and state.fold(log, found) == 3
+    assert log.keys_since(2).filter("replica_id < 3").isEmpty()
+    assert log.state()["change"]["rows"] == found.filter("replica_id > 2").select("replica_id", "bucket").distinct().count()
+    again = state.changed_neighbours(log, 2)
+    assert again.filter("replica_id < 3").isEmpty()
+    assert rows(state.illegal(log.read())) == rows(state.illegal(found)) == [(5, 10, "transferred", "verifying")]
+    assert rows(state.stalled(log.read(), now)) == rows(state.stalled(found, now))
+    log.compact()
+    assert rows(state.illegal(log.read())) == rows(state.illegal(found))
+    whole = state.changed_neighbours(log, 1).drop("bucket")
+    assert rows(whole) == rows(state._neighbours(found))
+
+
+def test_stream_folds_each_batch(spark, shuffled, rows, tmp_path):
+    events = jobs.new_files(spark, shuffled, SCHEMA, max_files=2)
+    state.fold_to(state.stall_summaries(events, bucket_seconds=3600), str(tmp_path / "log"), str(tmp_path / "mark"),
+                  compact_every=2).awaitTermination()
+    log = state.summary_log(spark, str(tmp_path / "log"))
+    now = F.lit(int((T0 + dt.timedelta(minutes=4000)).replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
+    batch = state.stall_alarms(spark.createDataFrame(EVENTS, SCHEMA), now, bucket_seconds=3600)
+    assert rows(state.stalled(log.read(), now), "replica_id", "event_id", "level") == rows(batch, "replica_id", "event_id", "level")
+    assert log.state()["changes"] == []
+
+
 def test_retention_frees_old_buckets_and_keeps_their_results(spark, source, rows):
     kept = summaries(spark, source, state.transition_summaries, 1, bucket_seconds=3600, retention="10 minutes")
     assert rows(state.illegal(kept)) == [(5, 10, "transferred", "verifying")]
