@@ -251,5 +251,9 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     groups = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), shingle, percent)
     groups = groups.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key)
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.col(key).alias("row"))
-    kept = written(groups.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias(key)), "kept")
-    return rows.join(kept, key, "left_semi").select(*docs.columns)
+    groups = written(groups, "groups")
+    several = groups.groupBy("component_id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    gone = groups.join(several.select("component_id", F.col("first.row").alias("first")), "component_id").where(
+        F.col(key) != F.col("first")).select(key)
+    # far fewer rows go than stay, so that texts are not shuffled where the keys that go are small
+    return rows.join(broadcast_if_small(written(gone, "gone")), key, "left_anti").select(*docs.columns)
