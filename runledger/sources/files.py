@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Characters that Spark writes as %XX in the names of folders, and the name of null and empty values there.
+_ESCAPED = {c: f"%{ord(c):02X}" for c in "".join(map(chr, range(1, 32))) + "\"#%'*/:=?\\\x7f{[]^"}
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
 
 def file_inventory(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """Recursive listing: path, dir, name, length, modificationTime (content only on request)."""
@@ -14,6 +22,41 @@ def file_inventory(spark: SparkSession, path: str, content: bool = False) -> Dat
     return found.select(*cols, *(["content"] if content else []))
 
 
+def write_files(rows: DataFrame, path: str, dir: Column, name: Column) -> None:
+    """Text files below ``path``: one per ``dir=<dir>/name=<name>.txt``, with a line for each of its rows' ``line``.
+
+    A task writes its files straight to their places, and a task that runs again writes the same ones, so there is nothing
+    to rename afterwards.  A writer that makes a folder for each file spends most of its time on that, and so do listings.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = arrow_fs.FileSystem.from_uri(path)
+        known, at, out = set(), None, None
+        for batch in batches:
+            for folder, file, line in zip(*(column.to_pylist() for column in batch.columns)):
+                if (folder, file) != at:
+                    if out is not None:
+                        out.close()
+                    if folder not in known:
+                        store.create_dir(f"{root}/{folder}", recursive=True)
+                        known.add(folder)
+                    at, out = (folder, file), store.open_output_stream(f"{root}/{folder}/{file}")
+                out.write((line or "").encode() + b"\n")
+        if out is not None:
+            out.close()
+        yield from ()
+
+    def escaped(value: Column) -> Column:
+        text = F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit(_NO_VALUE))
+        for character, code in sorted(_ESCAPED.items(), key=lambda c: c[0] != "%"):
+            text = F.replace(text, F.lit(character), F.lit(code))
+        return text
+
+    files = rows.select(F.concat(F.lit("dir="), escaped(dir)).alias("folder"),
+                        F.concat(F.lit("name="), escaped(name), F.lit(".txt")).alias("file"), "line")
+    files.repartition("folder", "file").sortWithinPartitions("folder", "file").mapInArrow(write, "n long").write.format(
+        "noop").mode("overwrite").save()
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with file and ordinal: (file, line_no, line).
 

@@ -53,11 +53,11 @@ SELECT source AS dir, doc_id, strlen(text) + 1 AS length, true AS has_time FROM
 def s4(spark, sf):
     """A file per document, found with its directory and length."""
     path = scratch_dir(spark, "inventory")
-    fx.table(spark, sf, "documents").select("source", "doc_id", "text").repartition("doc_id").write.partitionBy(
-        "source", "doc_id").text(path)
+    files.write_files(fx.table(spark, sf, "documents").select("source", "doc_id", F.col("text").alias("line")), path,
+                      F.col("source"), F.col("doc_id"))
     found = files.file_inventory(spark, path)
-    return found.select(F.regexp_extract("dir", "source=([^/]*)", 1).alias("dir"),
-                        F.regexp_extract("dir", r"doc_id=(\d+)$", 1).cast("long").alias("doc_id"), "length",
+    return found.select(F.regexp_extract("dir", "dir=([^/]*)$", 1).alias("dir"),
+                        F.regexp_extract("name", r"^name=(\d+)\.txt$", 1).cast("long").alias("doc_id"), "length",
                         F.col("modificationTime").isNotNull().alias("has_time"))
 
 

@@ -109,3 +109,16 @@ def test_nesting_reverses_exploding(spark):
     emptied = catalogue.nest_locations(runs, catalogue.explode_locations(runs).limit(0))
     assert emptied.filter("size(data) = 0").count() == runs.filter("data IS NOT NULL").count()
     assert emptied.filter("data IS NULL").count() == runs.filter("data IS NULL").count() > 0
+
+
+def test_files_are_written_in_place(spark, tmp_path):
+    """A file of each (dir, name) holds a line per row; no folder of its own, whatever the names hold."""
+    made = [("a", 1, "x"), ("a", 1, "yy"), ("a", 2, None), ("b=%/c", 3, "é\nz"), (None, 4, ""), ("", 4, "q")]
+    df = spark.createDataFrame(made, "d string, n long, line string").repartition(3)
+    path = f"file://{tmp_path}/inventory"
+    files.write_files(df, path, F.col("d"), F.col("n"))
+    found = files.file_inventory(spark, path)
+    got = sorted((r.dir.rpartition("/")[2], r.name, r.length) for r in found.collect())
+    assert got == [("dir=__HIVE_DEFAULT_PARTITION__", "name=4.txt", 3), ("dir=a", "name=1.txt", 5), ("dir=a", "name=2.txt", 1),
+                   ("dir=b%3D%25%2Fc", "name=3.txt", 5)]
+    assert len([p for p in (tmp_path / "inventory").rglob("*") if p.is_dir()]) == 3
