@@ -120,3 +120,12 @@ def test_tree_digest_of_a_hot_directory(spark, rows):
     assert aggregate.differing_leaves(nodes, aggregate.digest_nodes(changed)).count() in (1, 2)
     assert rows(aggregate.differing_leaves(nodes, nodes)) == []
     assert aggregate.tree_digest(files.limit(0)).count() == 0
+
+
+def test_tree_digests_travel_as_bytes(spark):
+    """A shuffle of the tree holds 32 bytes a digest, and the digests stay what they were."""
+    files = spark.createDataFrame([("d", f"f{n}", "x") for n in range(40)], "dir string, name string, fingerprint string")
+    out = aggregate.tree_digest(files)
+    assert out.first().digest == tree_by_hand([(f"f{n}", "x") for n in range(40)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex(sha2(" in plan
