@@ -1,6 +1,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from runledger.operators import endpoints, joins
 from runledger.plans import rules as plans
@@ -112,3 +113,31 @@ def test_random_endpoint_keeps_its_lifetime(spark):
     one, two = endpoints.choose_rse(df, "s").first(), endpoints.choose_rse(df, "s").first()
     assert one == two and one.destination_rse[0] == "r0" and one.destination_rse[1] in ("x", "y")
     assert one.destination_livetime == {"r0": "1", one.destination_rse[1]: "2"}
+
+
+def test_windows_are_looked_up_once_a_time(spark, rows):
+    """Lists of windows are kept per time, not per run, and a rule that takes a run twice counts once."""
+    runs = spark.sql("SELECT id AS number, concat('16080', 1 + id % 3, '_0125') AS name FROM range(1, 301)")
+    runs = runs.union(runs.filter("number = 7")).union(spark.createDataFrame([(None, "160801_0125"), (8, None)], "number long, name string"))
+    days = [rule(10 + i, "7", "160801_0000-160802_2359") for i in range(20)] + [rule(50, "9-12"), rule(51, "1", "all"), rule(52, "400")]
+    df = spark.createDataFrame(days, RULE)
+    members, classes = joins.run_classes(runs, df)
+    sizes = [len(r.rule_ids) for r in classes.collect() if not r.class_id.startswith((joins.ALONE, joins.EVERY))]
+    assert sorted(sizes) == [1, 20]  # rule 50, and the days' rules: for number 7 and for two of the three times
+    got = rows(joins.match_rules(runs, df), "number", "rule_id")
+    windows = [n for n in range(1, 301) if n % 3 < 2]
+    assert got == sorted([*((n, 51) for n in [*range(1, 301), None]), *((n, 50) for n in (9, 10, 11)),
+                          *((n, 10 + i) for n in [*windows, None] for i in range(20))], key=repr)
+
+
+def test_actions_from_known_rules(spark, runs, rows):
+    """What is known of a run joins before its targets are made; the actions are those of a join with all targets."""
+    df = spark.createDataFrame([rule(i, "1-5", rse=("r0", "r2")) for i in range(4)] + [rule(9, "3", verify=True)], RULE)
+    known = spark.createDataFrame([("s:1", "r0", "a", "OK"), ("s:1", "r0", "b", "STUCK"), ("s:2", "r9", "c", "OK"),
+                                   ("s:7", "r1", "d", "OK"), ("s:3", None, "e", "OK")], "did string, rse string, rule_id string, status string")
+    did = F.concat(F.lit("s:"), F.col("number").cast("string"))
+    ready = lambda t: t.withColumnRenamed("rule_id", "rule").withColumn("status", F.lit("transferred"))
+    late = plans.rule_actions(ready(plans.rule_targets(runs, df, ["r0", "r1"])).withColumn("did", did), known)
+    early = plans.rule_actions(ready(plans.rule_targets(runs, df, ["r0", "r1"], lambda m: plans.with_known(m.withColumn("did", did), known))))
+    columns = ["number", "rule", "rse", "rule_id", "rule_status", "action"]
+    assert rows(early, *columns) == rows(late, *columns) and early.count() > 40
