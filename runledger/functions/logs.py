@@ -126,10 +126,14 @@ def downloaded_files(lines: DataFrame) -> DataFrame:
     rows = lines.filter(line.contains(K.DOWNLOAD_OK)).withColumn("_t", F.split(line, " "))
     name = F.regexp_extract(line, "(?:^| )[^ :]+:([^ :]+)(?= |$)", 1)
     sized, sourced = line.contains(K.DOWNLOAD_BYTES), line.contains(K.DOWNLOAD_FROM)
-    out = rows.groupBy("file", name.alias("dw_file")).agg(
-        F.bool_or(sourced).alias("_known"),
-        _last(F.get("_t", F.lit(10)), sized).alias("dw_size"), _last(F.get("_t", F.lit(15)), sized).alias("dw_time"),
-        _last(F.split(F.element_at("_t", -1), "]")[0], sourced).alias("dw_rse"))
+    # values, not lines and their words, are sorted and shuffled
+    rows = rows.select("file", "line_no", name.alias("dw_file"), sized.alias("_sized"), sourced.alias("_sourced"),
+                       F.when(sized, F.get("_t", F.lit(10))).alias("size"), F.when(sized, F.get("_t", F.lit(15))).alias("time"),
+                       F.when(sourced, F.split(F.element_at("_t", -1), "]")[0]).alias("rse"))
+    out = rows.groupBy("file", "dw_file").agg(
+        F.bool_or("_sourced").alias("_known"),
+        _last(F.col("size"), F.col("_sized")).alias("dw_size"), _last(F.col("time"), F.col("_sized")).alias("dw_time"),
+        _last(F.col("rse"), F.col("_sourced")).alias("dw_rse"))
     gap = lambda c: F.coalesce(c, F.lit("-1")).alias(c)
     return out.filter("_known").select("file", "dw_file", gap("dw_size"), gap("dw_time"), gap("dw_rse"))
 

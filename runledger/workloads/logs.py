@@ -17,7 +17,7 @@ def _lines(spark, sf, line, key="run_number"):
 def _stored(lines):
     """Lines written out and read back, as tool output is: parsing filters then see text, not the fixture's recipe."""
     path = scratch_dir(lines.sparkSession, "lines")
-    lines.write.parquet(path)
+    lines.write.option("compression", "zstd").parquet(path)
     return lines.sparkSession.read.schema(lines.schema).parquet(path)
 
 

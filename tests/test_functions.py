@@ -196,3 +196,18 @@ Total files : 1
 
 def test_alert_record(spark):
     assert names.alert_record(spark.sql("SELECT 2 AS b, 'x' AS a")).first().record == '{"a":"x","b":2}'
+
+
+def test_downloaded_files_sort_values_not_lines(spark):
+    """Lines and their words end before rows are grouped; the last line of each kind counts, also one cut short."""
+    from runledger.functions import logs as downloads
+
+    sized = "0 1 2 3 4 5 6 s:a successfully downloaded 7 bytes downloaded in about 12 s"
+    lines = spark.createDataFrame([(1, 1, sized), (1, 2, "0 s:a successfully downloaded from site1]"),
+                                   (1, 3, "s:a successfully downloaded bytes downloaded"), (1, 4, "s:b successfully downloaded from x]"),
+                                   (1, 5, "0 s:a successfully downloaded from site2]")], "file long, line_no long, line string")
+    out = downloads.downloaded_files(lines)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", "-1", "-1", "site2"), (1, "b", "-1", "-1", "x")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = next(row for row in plan.splitlines() if "Aggregate [" in row)
+    assert "split(" not in aggregate and "line#" not in aggregate
