@@ -39,14 +39,19 @@ def _bare(n: int = 1) -> Column:
 def parse_upload_log(lines: DataFrame) -> DataFrame:
     """Counters of an upload, last line per counter; absent ones are -1 (objects backed up: null)."""
     mark = first_mark(F.col("line"), [m for _, m, _ in K.UPLOAD_COUNTERS])
-    rows = lines.select(
-        "file", "line_no", mark.alias("_m"), _bare().alias("text"),
-        F.translate(_bare(), ",", "").try_cast("bigint").alias("number"),
-        F.concat_ws(":", _bare(1), _bare(2), _bare(3)).alias("clock"))
+    kinds = ["number" if integer else "clock" if name == "elapsed_processing_time" else "text" for name, _, integer in K.UPLOAD_COUNTERS]
+    # a line is split once, and only into the value of its counter
+    rows = lines.select("file", "line_no", mark.alias("_m"), F.split("line", ":").alias("_f"))
+    bare = lambda n: F.replace(F.get("_f", F.lit(n)), F.lit(" "), F.lit(""))
+    of_kind = lambda kind, value: F.when(
+        F.col("_m").isin([i for i, k in enumerate(kinds) if k == kind]), value).alias(kind)
+    rows = rows.select(
+        "file", "line_no", "_m", of_kind("text", bare(1)),
+        of_kind("number", F.replace(bare(1), F.lit(","), F.lit("")).try_cast("bigint")),
+        of_kind("clock", F.concat_ws(":", bare(1), bare(2), bare(3))))
     aggs = []
     for i, (name, _, integer) in enumerate(K.UPLOAD_COUNTERS):
-        value = "number" if integer else "clock" if name == "elapsed_processing_time" else "text"
-        picked = _last(F.col(value), F.col("_m") == i)
+        picked = _last(F.col(kinds[i]), F.col("_m") == i)
         if name != "backedup":
             picked = F.coalesce(picked, F.lit(-1) if integer else F.lit("-1"))
         aggs.append(picked.alias(name))

@@ -211,3 +211,16 @@ def test_downloaded_files_sort_values_not_lines(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     aggregate = next(row for row in plan.splitlines() if "Aggregate [" in row)
     assert "split(" not in aggregate and "line#" not in aggregate
+
+
+def test_upload_lines_are_split_once(spark, rows):
+    """Each counter is read as its own kind only, and a line without one still makes its file a row."""
+    lines = spark.createDataFrame(
+        [("f", 1, "Total number of objects inspected:  1,234"), ("f", 2, "Total number of bytes inspected:  1,5 GB"),
+         ("f", 3, "Elapsed processing time:  00:01:07"), ("f", 4, "Total number of objects failed:  many"),
+         ("g", 1, "no counter: 3"), (None, 1, None)], "file string, line_no long, line string")
+    out = logs.parse_upload_log(lines)
+    got = rows(out, "file", "inspected", "backedup", "failed", "bytes_inspected", "elapsed_processing_time", "object_compressed")
+    assert got == sorted([("f", 1234, None, -1, "1,5GB", "00:01:07", "-1"), ("g", -1, None, -1, "-1", "-1", "-1"),
+                          (None, -1, None, -1, "-1", "-1", "-1")], key=repr)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
