@@ -2,6 +2,7 @@ import datetime as dt
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from runledger import hooks
@@ -258,3 +259,39 @@ def test_scratch_follows_the_checkpoint_folder(spark, monkeypatch):
 
     assert scratch_dir(Session(), "x").startswith("/shared/folder/x-")
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
+
+
+def test_a_replica_has_one_timer(spark):
+    """Not one per event and level: a call for each timer is what a batch of a busy replica costs."""
+    class Held(list):
+        get = list.__iter__
+
+        def put(self, events):
+            self[:] = events
+
+    class Handle:
+        timers, events = [], Held()
+
+        def getListState(self, *_):
+            return self.events
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    processor, handle = state._TimerProcessor(), Handle()
+    processor.init(handle)
+    hours = [Row(ms=3 * n * state.HOUR_MS, event_id=n, status="transferring") for n in range(1, 9)]
+    for batch in (hours[4:], hours[:4]):  # the older events come last
+        list(processor.handleInputRows((7,), iter(batch), At(0)))
+        assert len(handle.timers) == 1
+    now = 28 * state.HOUR_MS
+    fired = list(processor.handleExpiredTimer((7,), At(now), At(handle.timers.pop())))
+    assert [(a.event_id, a.level) for a in fired] == [(n, "alert") for n in range(1, 9)]
+    assert len(handle.timers) == 1 and handle.timers[0] > now
