@@ -9,6 +9,8 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scale import broadcast_if_small
+
 #: Characters that Spark writes as %XX in the names of folders, and the name of null and empty values there.
 _ESCAPED = {c: f"%{ord(c):02X}" for c in "".join(map(chr, range(1, 32))) + "\"#%'*/:=?\\\x7f{[]^"}
 _NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
@@ -61,7 +63,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with file and ordinal: (file, line_no, line).
 
     Files are read in splits, never as one row: a split's rows are numbered where they
-    are read, and a table of one row per split carries the offsets of earlier splits.
+    are read, and a table of one row per split, broadcast if it is small, carries the offsets of earlier splits.
     """
     lines = spark.read.text(path).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
@@ -69,7 +71,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
-    return lines.join(splits, ["file", "block"]).select(
+    return lines.join(broadcast_if_small(splits), ["file", "block"]).select(
         "file", (F.col("_id") - F.col("_first") + F.col("_skip")).alias("line_no"), "line")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..scale import scratch_dir
+from ..scale import scratch_dir, tasks_for
 from ..sources import catalogue, files
 from .registry import query
 
@@ -64,17 +64,24 @@ def s4(spark, sf):
 @query("s5_read_logs", """
 SELECT file, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS ordinal, line FROM log_lines""", "log_lines")
 def s5(spark, sf):
-    """Logs written in order, several to a file; the numbers of lines must give the order back."""
+    """Logs written in order, several to a file; the numbers of lines must give the order back.
+
+    Files, and the tasks that sort, are as many as the lines ask for; a key of the last join has the lines of one file at most.
+    """
     path = scratch_dir(spark, "logs")
-    fx.log_lines(spark, sf).repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no").select(
+    logs = fx.log_lines(spark, sf)
+    tasks = tasks_for(spark, logs.count())
+    logs.repartitionByRange(tasks, "file", "line_no").sortWithinPartitions("file", "line_no").select(
         F.concat_ws("|", "file", "line")).write.text(path)
     lines = files.read_logs(spark, path).select(
         F.col("file").alias("_file"), "line_no", F.substring_index("line", "|", 1).cast("long").alias("file"),
         F.regexp_extract("line", r"^\d+\|(.*)$", 1).alias("line"))
-    first = lines.groupBy("file", "_file").agg(F.min("line_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    spread = lines.repartition(tasks, "file", "_file")
+    first = spread.groupBy("file", "_file").agg(F.min("line_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = first.repartition(tasks, "file")
     before = Window.partitionBy("file").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     first = first.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return lines.join(first, ["file", "_file"]).select(
+    return spread.join(first, ["file", "_file"]).select(
         "file", (F.col("line_no") - F.col("_first") + F.col("_skip")).alias("ordinal"), "line")
 
 

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from runledger.scale import tasks_for
 from runledger.sources import catalogue, files
 
 
@@ -76,6 +77,23 @@ def test_line_numbers_across_splits(spark, tmp_path):
     assert all(r.line == f"{r.file.rsplit('/', 1)[1]} {r.line_no}" for r in got)
 
 
+def test_lines_are_not_moved_to_be_numbered(spark, tmp_path):
+    """A row per split meets the lines where they are, whatever Spark guesses of its size."""
+    (tmp_path / "a.log").write_text("x\n" * 1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = files.read_logs(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tasks_follow_rows(spark):
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark, 0) == tasks_for(spark, 5) == few
+    assert tasks_for(spark, 1001, task_rows=10) == 101 and tasks_for(spark, 10 ** 9) == 1000
+
+
 def test_run_list(spark, tmp_path, rows):
     (tmp_path / "list.txt").write_text("a, 3\n\n 4 ,,b\n")
     entries = files.read_run_list(spark, str(tmp_path / "list.txt"))
