@@ -142,3 +142,16 @@ def test_verify_upload_by_name(spark, rows):
     assert rows(joins.matched_uploads(local, cat, "x")) == [("d", "a", None, True), ("d", "b", "2", True), ("e", "a", None, False)]
     assert rows(joins.verify_upload(local, cat, "x", check=True)) == [
         ("d", 2, 1, "RSEreupload"), ("e", 1, 0, "RSEreupload")]
+
+
+def test_uploads_are_sorted_once_by_hash(spark, rows):
+    local = spark.createDataFrame([("d", "a", "1"), ("d", "a", "1"), (None, "a", None), ("e", None, "3"), ("dd", "a", "4")],
+                                  "dataset string, file string, fingerprint string")
+    cat = spark.createDataFrame([("d", "a", "x", "1"), ("d", "a", "x", "0"), (None, "a", "x", "2"), ("e", None, "y", "3")],
+                                "dataset string, file string, rse string, checksum string")
+    found = joins.matched_uploads(local, cat, "x")
+    assert rows(found) == sorted([("d", "a", "1", True), (None, "a", "2", True), ("e", None, None, False), ("dd", "a", None, False)], key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Sort [") == 1 and "xxhash64" in plan
+    checked = joins.matched_uploads(local, cat, "x", check=True)
+    assert [r.found for r in checked.orderBy("dataset", "file").collect()] == [False, True, False, False]
