@@ -126,7 +126,7 @@ def _changes(spark, sf):
     """The changes of ``CHANGES_SQL``."""
     return [
         changes.push(_added(spark, sf)),
-        changes.set_fields(_verified, ["status", "checksum"]),
+        changes.set_fields(_verified, ["status", "checksum"], F.col("status") == "verifying"),
         changes.pull(lambda t: t.filter(F.col("size_bytes") % 10 == 3).select("run_number", "host", "status", "checksum")),
         changes.remove("site1", lambda t: t.filter(F.col("size_bytes") % 3 == 0).select("location"), "transferred"),
     ]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_joins import replicas
 
+from runledger import scale
 from runledger.operators import changes, mutate
 
 COLUMNS = ("run_number", "pos", "host", "status")
@@ -181,3 +182,31 @@ def test_versions_by_two_writers(spark, reps, rows, tmp_path):
     assert sorted(mutate.read_version(spark, path, v).count() for v in made) == [3, 3, 24]
     with pytest.raises(ValueError):
         mutate.read_version(spark, str(tmp_path / "none"))
+
+
+def test_rows_that_no_key_can_equal_are_not_shuffled(spark, rows, monkeypatch):
+    left = spark.range(4000).selectExpr("CASE WHEN id % 50 > 0 THEN id END AS run_number", "id % 3 AS pos", "repeat('x', 300) AS text")
+    left = left.union(left.limit(500))
+    keys = left.selectExpr("run_number", "CAST(pos AS INT) AS pos").filter("run_number % 10 = 3 OR run_number IS NULL")
+    monkeypatch.setattr(scale, "is_small", lambda df: False)
+    found = scale.without_keys(left, keys, ["run_number", "pos"])
+    assert rows(found) == rows(left.join(keys, ["run_number", "pos"], "left_anti")) and found.count() > 3000
+    clear, doubtful = scale.split_by_keys(left, keys, ["run_number", "pos"], keys.count())
+    assert 450 < doubtful.count() < 1600 and clear.count() + doubtful.count() == 4500
+    assert rows(scale.without_keys(left, keys.limit(0), ["run_number", "pos"])) == rows(left)
+
+
+def test_many_changes_leave_most_rows_in_place(spark, reps, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "BROADCAST_ROWS", 0)
+    log = log_of(spark, tmp_path, reps, ranges=3)
+    gone = lambda t: changes.drop(t.filter("run_number IN (2, 7)").select("run_number", "pos"))
+    seen = []
+    log.commit(gone)
+    log.commit(changes.set_fields(lambda t: seen.append(t.count()) or verified(t), ["status"], F.col("status") == "verifying"))
+    expected = [r for r in rows(reps, *COLUMNS) if r[0] not in (2, 7)]
+    expected = [(*r[:3], "transferred") for r in expected]
+    assert seen == [6] and rows(log.read(), *COLUMNS) == expected
+    plan = log.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan
+    log.compact()
+    assert not log.state()["changes"] and rows(log.read(), *COLUMNS) == expected
