@@ -79,3 +79,25 @@ def test_versions(spark, reps, rows, tmp_path):
     assert mutate.write_version(mutate.read_version(spark, path).filter("run_number = 2"), path) == 2
     assert mutate.read_version(spark, path).count() == 1
     assert rows(mutate.read_version(spark, path, 1)) == rows(reps)
+
+
+def test_only_rows_to_verify_meet_their_digests(spark, rows, monkeypatch):
+    reps = replicas(spark, *((run, 0, "hgt"[run % 3], "raw", None, ["verifying", "transferred", None][run % 2 + (run % 7 == 0)], None, run % 4 > 0)
+                             for run in range(30)), (50, 0, None, "raw", None, "verifying", None, None))
+    reps = reps.unionByName(reps.filter("run_number < 6")).withColumn("location", F.when(F.col("run_number") != 9, F.col("location")))
+    once = reps.select("location", F.md5("location").alias("digest")).distinct()
+    twice = reps.filter("run_number % 5 < 3").select("location", F.md5("location").alias("digest"))  # some several times
+
+    def by_join(digests):
+        monkeypatch.setattr(mutate, "_with_digests", lambda replicas, found, todo: replicas.join(found, "location", "left"))
+        expected = rows(mutate.add_checksum(reps, digests, "h", ["g"]))
+        monkeypatch.undo()
+        return expected
+
+    for digests in (once, twice, once.limit(0)):
+        assert rows(mutate.add_checksum(reps, digests, "h", ["g"])) == by_join(digests)
+    monkeypatch.setattr(mutate, "is_small", lambda df: False)  # many locations are found several times
+    assert rows(mutate.add_checksum(reps, twice, "h", ["g"])) == by_join(twice)
+    monkeypatch.undo()
+    plan = mutate.add_checksum(reps, once, "h")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
