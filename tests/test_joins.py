@@ -155,3 +155,16 @@ def test_uploads_are_sorted_once_by_hash(spark, rows):
     assert plan.count("Sort [") == 1 and "xxhash64" in plan
     checked = joins.matched_uploads(local, cat, "x", check=True)
     assert [r.found for r in checked.orderBy("dataset", "file").collect()] == [False, True, False, False]
+
+
+def test_ranges_are_dealt_before_they_are_cut(spark, rows, monkeypatch):
+    ranges = spark.createDataFrame([(p, 40 * p, 40 * p + p % 70, f"v{p}") for p in range(300)], "pos long, min long, max long, value string")
+    runs = spark.createDataFrame([(n,) for n in range(0, 12100, 7)] + [(None,), (40,), (40,)], "number long")
+    small = rows(joins.range_lookup(runs, ranges.repartition(1)))
+    monkeypatch.setattr(joins, "is_small", lambda df: False)
+    monkeypatch.setattr(joins, "TASK_RANGES", 20)
+    found = joins.range_lookup(runs, ranges.repartition(1))
+    assert rows(found) == small and (40, "v1") in small and (None, None) in small
+    assert joins._first_per_node(ranges.coalesce(1), F.col("min"), F.col("max"), 3)._jdf.queryExecution().optimizedPlan().toString().count(
+        "RepartitionByExpression") == 1
+    assert "bitmap_construct_agg" in found._jdf.queryExecution().optimizedPlan().toString()
