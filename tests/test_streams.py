@@ -295,3 +295,53 @@ def test_a_replica_has_one_timer(spark):
     fired = list(processor.handleExpiredTimer((7,), At(now), At(handle.timers.pop())))
     assert [(a.event_id, a.level) for a in fired] == [(n, "alert") for n in range(1, 9)]
     assert len(handle.timers) == 1 and handle.timers[0] > now
+
+
+def test_a_key_of_state_holds_many_replicas(spark, rows, tmp_path):
+    """Not a key per replica and a row per event: calls for each key are what a batch of many replicas costs."""
+    path, n = str(tmp_path / "events"), 200
+    events = [event(2 * k + i, 10 * (i + k % 3), k or None, status)
+              for k in range(n) for i, status in enumerate(("transferring", "error" if k % 2 else "transferred"))]
+    events += events[10:20]  # rows that come twice, the second time in a later batch
+    for part in (events[::2], events[1::2]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    expected = rows(state.bad_transitions(spark.createDataFrame(events, SCHEMA)))
+    assert len(expected) == n // 2
+    for shards in (1, 4):
+        stream = state.transition_summaries(jobs.new_files(spark, path, SCHEMA, max_files=1), shards=shards)
+        out = str(tmp_path / f"out{shards}")
+        query = jobs.append_to(stream, out, str(tmp_path / f"mark{shards}"))
+        query.awaitTermination()
+        found = spark.read.schema(state.SUMMARY_SCHEMA).parquet(out)
+        assert rows(state.illegal(found)) == expected
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * shards
+        assert found.groupBy("replica_id").agg(F.max("seen").alias("n")).agg(F.sum("n")).first()[0] == len(events)
+
+
+def test_a_large_batch_is_held_in_several_rows(monkeypatch):
+    class Held(list):
+        get, appendList = list.__iter__, list.extend
+
+    class Handle:
+        def __init__(self):
+            self.events = Held()
+
+        def getListState(self, *_):
+            return self.events
+
+    monkeypatch.setattr(state, "HELD_ROWS", 3)
+    processor, handle = state._BucketProcessor(state._may_be_illegal, 1000, False), Handle()
+    processor.init(handle)
+    events = [(0, 0, replica, 10 * i, i, "error") for i in range(4) for replica in (1, 2, None) if replica or i < 2]
+    for batch in (events[::2], events[1::2]):
+        made = {r.replica_id: r for r in processor.handleInputRows((0, 0), iter(batch), None)}
+    assert [len(stored[0]) for stored in handle.events] == [3, 2, 3, 2]
+    assert {r: (s.seen, s.first_ms, s.last_ms) for r, s in made.items()} == {1: (4, 0, 30), 2: (4, 0, 30), None: (2, 0, 10)}
+
+
+def test_shards_follow_the_fullest_bucket(spark):
+    at = "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, if(id < 2000, 0, id))"
+    events = spark.range(2010).selectExpr("id AS event_id", f"{at} AS ts")  # ten rows are weeks away
+    assert state.shards_for(events) == 4 and state.shards_for(events.unionAll(events)) == 8
+    assert state.shards_for(events.filter("false")) == 1
+    assert state.shards_for(events.selectExpr("event_id", "CAST(null AS timestamp_ntz) AS ts")) == 1
