@@ -141,3 +141,30 @@ def test_actions_from_known_rules(spark, runs, rows):
     early = plans.rule_actions(ready(plans.rule_targets(runs, df, ["r0", "r1"], lambda m: plans.with_known(m.withColumn("did", did), known))))
     columns = ["number", "rule", "rse", "rule_id", "rule_status", "action"]
     assert rows(early, *columns) == rows(late, *columns) and early.count() > 40
+
+
+def test_actions_once_for_rules_that_ask_the_same(spark, rows):
+    """Actions are found once for all rules of a list that ask the same; the rows are those of an action per target."""
+    runs = spark.createDataFrame([*((n, f"16080{1 + n % 3}_0125") for n in [*range(1, 9), 8]), (None, "160801_0125"), (9, None)],
+                                 "number long, name string")
+    kinds = [rule(20 + i, "4, 5", "160801_0000-160802_2359", rse=("r0", "r2"), live={"r0": "3600"}, remove=["r1"] if i % 2 else None)
+             for i in range(30)] + [rule(1, "2-4", verify=True), rule(1, "2-4"), rule(2, "3", rse=()), rule(3, "5", "all", rse=("r0", None), live={"r0": "-1"})]
+    known = spark.createDataFrame([("s:1", "r0", "a", "OK"), ("s:1", "r0", "b", "STUCK"), ("s:4", "r2", "c", "OK"), ("s:7", "r1", "d", "OK"),
+                                   (None, "r0", "e", "OK")], "did string, rse string, rule_id string, status string")
+    did = F.concat(F.lit("s:"), F.col("number").cast("string"))
+    ready = lambda t: t.withColumn("status", F.when(F.col("number") % 3 == 0, "error").otherwise("transferred"))
+    of_runs = lambda m: plans.with_known(m.withColumn("did", did), known)
+    columns = ["number", "rule", "rse", "lifetime", "remove", "rule_status", "action"]
+    for rules in (kinds, kinds[:-1], [rule(1, "2", verify=True)]):
+        df, given = spark.createDataFrame(rules, RULE), []
+
+        def act(targets):
+            given.append(targets)
+            return plans.rule_actions(ready(targets)).drop("rule_id")
+
+        late = plans.rule_actions(ready(plans.rule_targets(runs, df, ["r0", "r1"], of_runs).withColumnRenamed("rule_id", "rule")))
+        early = plans.rule_targets(runs, df, ["r0", "r1"], of_runs, act).withColumnRenamed("rule_id", "rule")
+        assert rows(early, *columns) == rows(late, *columns)
+        assert "rule_id" not in given[0].columns
+        if rules is kinds:
+            assert given[0].count() * 4 < early.count()
